@@ -14,12 +14,15 @@ sizes, the document at the budget's edge being taken in part.
 
 Scale.  A source may hold a third of all rows, so its order is not made in one task: the
 distribution of the keys (a mixture over the few levels of the weights) cuts each source
-into equal buckets of about ``BUCKET`` rows; sums over buckets give the prefix before a
-bucket and windows run inside the buckets.
+into equal buckets of about ``BUCKET`` rows.  Sums over buckets tell in which one the rest
+ends; only that bucket's rows are ordered, which gives the source's cut: a key, and how
+much of the document at it is taken.  Every row then compares its key with its source's
+cut, so neither texts nor sources are shuffled.
 
 The default quality weight is lexical diversity: the share of distinct words, in eighths.
 Nulls, ties, repeats: a null text has size 0, a null id the key of the empty text; equal
-keys are ordered by id and size; repeated rows are documents of their own.  An empty
+keys are ordered by id and size; repeated rows are documents of their own and
+share equally, in whole words, what the cut leaves for them.  An empty
 table, or one whose sizes are all 0, takes nothing.  Other columns pass through.
 """
 
@@ -28,7 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import words_column
+from terrasift.llm.common import shared_dir as prepare_folder
+from terrasift.llm.common import stored, words_column
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -62,43 +66,54 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float =
     return levels.withColumn("target", F.least(F.col("limit").cast("double"), F.coalesce(water * F.col("w"), F.col("limit").cast("double")))).drop("w", "limit", "ratio", "level", "fits")
 
 
+def cuts(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
+    """One row a source: its size, target, whole epochs and cut, from (source, doc_id, size, level, key)."""
+    counts = [F.count_if(F.col("level") == k).alias(f"_n{k}") for k in range(1, LEVELS + 1)]
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), *counts)
+    plan = targets(per_source, weights, cap, share).withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
+    plan = stored(plan.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source"))
+    # The share of the source's keys up to this one is uniform over its documents.
+    mass = sum((F.col(f"_n{k}") * (1 - F.exp(-F.col("key") * (k / LEVELS))) for k in range(1, LEVELS + 1)), F.lit(0.0)) / F.col("_n")
+    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("bucket", F.floor(mass * F.ceil(F.col("_n") / BUCKET)).cast("long")).select("_source", "rest", "bucket", "doc_id", "size", "key")
+    sums = placed.groupBy("_source", "rest", "bucket").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_before <= rest and rest < _before + _sum").select(F.col("_source").alias("_es"), F.col("bucket").alias("_eb"), (F.col("rest") - F.col("_before")).alias("_room"))
+    inside = placed.join(edge, F.col("_source").eqNullSafe(F.col("_es")) & (F.col("bucket") == F.col("_eb"))).groupBy("_source", "_room", "key", "doc_id", "size").count()
+    ahead = Window.partitionBy("_source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = inside.withColumn("_ahead", F.coalesce(F.sum(F.col("size") * F.col("count")).over(ahead), F.lit(0))).where("_ahead <= _room and _room < _ahead + size * count")
+    cut = ordered.select(F.col("_source").alias("_cs"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), F.col("size").alias("cut_size"), F.expr("(_room - _ahead) div count").alias("cut_part"))
+    return stored(plan.select("_source", "source_size", "target", "epochs").join(cut, F.col("_source").eqNullSafe(F.col("_cs")), "left").drop("_cs"))
+
+
 def mix(docs: DataFrame, size: Column, level: Column, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, seed: str = "") -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and taken (words, repeats counted).
 
     ``level`` is the quality weight in LEVELS-ths, a whole number from 1 to LEVELS.
     """
-    own = [c for c in docs.columns]
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col("source").alias("_s"), F.col("doc_id").alias("_id"), size.cast("long").alias("size"), level.cast("int").alias("_level"))
-    keyed = keyed.withColumn("_key", exponential(F.col("_id"), seed) * LEVELS / F.col("_level"))
-    counts = [F.count_if(F.col("_level") == k).alias(f"_n{k}") for k in range(1, LEVELS + 1)]
-    per_source = keyed.groupBy(F.col("_s").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), *counts)
-    plan = targets(per_source, weights, cap, share).withColumn("_epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
-    plan = plan.withColumn("_rest", F.round(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size"))
-    # Buckets: the share of the source's keys up to this one, which is uniform over its documents.
-    mass = sum((F.col(f"_n{k}") * (1 - F.exp(-F.col("_key") * (k / LEVELS))) for k in range(1, LEVELS + 1)), F.lit(0.0)) / F.col("_n")
-    placed = keyed.join(plan.withColumnRenamed("source", "_source"), F.col("_s").eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("_bucket", F.floor(mass * F.ceil(F.col("_n") / BUCKET)).cast("long")).drop("_source", "_n", *[f"_n{k}" for k in range(1, LEVELS + 1)])
-    sums = placed.groupBy("_s", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("_s").alias("_os"), F.col("_bucket").alias("_ob"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_s", "_bucket").orderBy("_key", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = placed.withColumn("_ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    ordered = ordered.join(offsets, F.col("_s").eqNullSafe(F.col("_os")) & (F.col("_bucket") == F.col("_ob")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.col("_ahead")))
+    prepare_folder(docs.sparkSession)
+    key = exponential(F.col("doc_id"), seed) * LEVELS / level
+    found = cuts(stored(docs.select("source", "doc_id", size.cast("long").alias("size"), level.cast("int").alias("level"), key.alias("key"))), weights, cap, share)
+    own = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col("source").alias("_s"), F.col("doc_id").alias("_id"), size.cast("long").alias("_size"), key.alias("_key"))
+    joined = rows.join(found, F.col("_s").eqNullSafe(F.col("_source")))
+    same = F.col("_key") == F.col("cut_key")
+    first = same & ((F.col("_id") < F.col("cut_id")) | (F.col("_id").isNotNull() & F.col("cut_id").isNull()) | (F.col("_id").eqNullSafe(F.col("cut_id")) & (F.col("_size") < F.col("cut_size"))))
+    at = same & F.col("_id").eqNullSafe(F.col("cut_id")) & (F.col("_size") == F.col("cut_size"))
+    part = F.when((F.col("_key") < F.col("cut_key")) | first, F.col("_size")).when(at, F.col("cut_part")).otherwise(0)
     added = ("size", "source_size", "target", "taken")
-    taken = ordered.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("long"))
-    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c not in added], *added)
+    out = joined.withColumn("taken", (F.col("epochs") * F.col("_size") + part).cast("long"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c not in added], F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns, ``_size`` (words) and ``_level`` (diversity) of the whole text."""
-    words = docs.select(*keep, words_column(F.col("text")).alias("_words"))
-    return words.select(*keep, F.size("_words").cast("long").alias("_size"), diversity(F.col("_words")).alias("_level"))
+    words = docs.select(*[F.col(f"`{c}`") for c in keep], words_column(F.col("text")).alias("_words"))
+    return words.select(*[F.col(f"`{c}`") for c in keep], F.size("_words").cast("long").alias("_size"), diversity(F.col("_words")).alias("_level"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of all documents."""
-    rows = measured(docs, "doc_id", "source")
+    rows = stored(measured(docs, "doc_id", "source"))
     return mix(rows, F.col("_size"), F.col("_level")).select("doc_id", "size", "source_size", "target", "taken")
 
 
