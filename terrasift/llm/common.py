@@ -25,13 +25,13 @@ from terrasift.session import ship
 # them is mapped and unmapped, and the page faults cost ten times the arithmetic.
 with contextlib.suppress(OSError, AttributeError):
     _libc = ctypes.CDLL(None)
-    _libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
-    _libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    _libc.mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+    _libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
 
 #: Separators of words, as a Java regex class.
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Bytes of text that a Python worker turns into arrays at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 BITS64 = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -206,14 +206,15 @@ def fit(texts_labels, features, s: Settings) -> np.ndarray:
             keys, where = np.unique(both, return_inverse=True)
             d = np.bincount(where, np.concatenate([own[1], -x]), len(keys))
             change = (keys[d != 0], d[d != 0])
-        rows.append((own[0].astype(np.int32), own[1].astype(np.float32), float(label), change))
+        values = None if features.binary else own[1].astype(np.float32)
+        rows.append((own[0].astype(np.int32), values, float(label), change))
         read += len(own[0])
         if read > MAX_FEATURES:
             break
     for k in range(s.passes):
         for j in np.random.default_rng(k).permutation(len(rows)):
             at, x, y, change = rows[j]
-            model.learn(at, x, y)
+            model.learn(at, np.ones(len(at)) if x is None else x, y)
             if change is not None and len(change[0]):
                 model.pair(*change)
     return model.weights(slice(None)).astype(np.float32)
