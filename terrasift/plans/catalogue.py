@@ -1,15 +1,753 @@
-"""Registered queries over the reference's operators and their SQL."""
+"""Registered queries over the operators and, where SQL can say it, the same in DuckDB's SQL.
+
+The test tables hold no reports, so inputs are derived from their columns; every query
+runs over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from terrasift.functions import crs, labels, lines, numbers, text
+from terrasift.operators import classify, corpus, documents, gate, index, metadata, points, rings
+from terrasift.plans import pipeline
+from terrasift.sinks import kml
+from terrasift.sources import corpus as sources
+from terrasift.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- rings ------------------------------------------------------------------------------
+
+RING_VERTICES = 12
+_V = f"""v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+  CAST(round(value * 100) AS BIGINT) AS y, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS x FROM events),
+w AS (SELECT user_id, i, y, x FROM v WHERE i < {RING_VERTICES}),
+e AS (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n, y AS y1, x AS x1,
+  coalesce(lead(y) OVER (PARTITION BY user_id ORDER BY i), first_value(y) OVER (PARTITION BY user_id ORDER BY i)) AS y2,
+  coalesce(lead(x) OVER (PARTITION BY user_id ORDER BY i), first_value(x) OVER (PARTITION BY user_id ORDER BY i)) AS x2 FROM w)"""
+
+
+def ring_vertices(spark: SparkSession, sf_dir: str, n: int = RING_VERTICES) -> DataFrame:
+    """Vertices of the ring of each user: the first events in time order, in whole numbers."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(order) - 1).alias("i"), F.round(F.col("value") * 100).cast("long").alias("y"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("x"))
+    return rows.where(F.col("i") < n)
+
+
+def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rings.ordered_edges(ring_vertices(spark, sf_dir), "user_id", ["i"])
+
+
+@query(f"WITH {_V} SELECT user_id, max(n) AS vertices, CAST(abs(sum(y1 * x2 - y2 * x1)) AS BIGINT) AS double_area FROM e GROUP BY user_id")
+def q_ring_area(spark, sf_dir):
+    return ring_edges(spark, sf_dir).groupBy("user_id").agg(F.max("n").alias("vertices"), F.abs(F.sum(F.expr("y1 * x2 - y2 * x1"))).alias("double_area"))
+
+
+def ring_area_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query: ring areas against a declared area, with the gate's comparison."""
+    areas = q_ring_area(spark, sf_dir).withColumn("area_ha", F.col("double_area") / 2e4)
+    declared = areas.withColumn("declared_ha", F.round(F.col("area_ha") * (1 + (F.col("user_id") % 7 - 3) / 10), 2))
+    return declared.withColumn("qa", gate.compare_area(F.col("declared_ha"), F.col("area_ha"))).select("user_id", "vertices", "area_ha", "declared_ha", "qa.delta_ha", "qa.allowed_ha", "qa.ratio", "qa.match")
+
+
+def _turn(p, q, r):
+    (py, px), (qy, qx), (ry, rx) = p, q, r
+    return f"sign(({qx} - {px}) * ({ry} - {qy}) - ({qy} - {py}) * ({rx} - {qx}))"
+
+
+_P = [("a.y1", "a.x1"), ("a.y2", "a.x2"), ("b.y1", "b.x1"), ("b.y2", "b.x2")]
+_SHARED = " OR ".join(f"({p[0]} = {q[0]} AND {p[1]} = {q[1]})" for p in _P[:2] for q in _P[2:])
+_CROSS = f"""c AS (SELECT a.user_id, a.i AS i, b.i AS j FROM e a JOIN e b ON a.user_id = b.user_id AND a.i + 1 < b.i AND NOT (a.i = 0 AND b.i = b.n - 1)
+ AND NOT ({_SHARED}) AND {_turn(_P[0], _P[1], _P[2])} * {_turn(_P[0], _P[1], _P[3])} < 0 AND {_turn(_P[2], _P[3], _P[0])} * {_turn(_P[2], _P[3], _P[1])} < 0)"""
+
+
+@query(f"WITH {_V}, {_CROSS} SELECT user_id, count(*) AS crossings FROM c GROUP BY user_id")
+def q_ring_crossings(spark, sf_dir):
+    return rings.crossing_pairs(ring_edges(spark, sf_dir), "user_id").groupBy("user_id").agg(F.count("*").alias("crossings"))
+
+
+def ring_rows(spark: SparkSession, sf_dir: str, n: int = RING_VERTICES) -> DataFrame:
+    """The same rings as rows with vertex arrays (metre magnitudes, so metre tolerances hold)."""
+    v = ring_vertices(spark, sf_dir, n)
+    vertex = F.struct(F.col("i").cast("int").alias("seq"), F.concat(F.lit("P"), F.col("i").cast("string")).alias("name"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    return v.groupBy("user_id").agg(F.array_sort(F.collect_list(vertex)).alias("points"))
+
+
+@query("SELECT user_id, CAST(0 AS BIGINT) AS crossings_left FROM (SELECT DISTINCT user_id FROM events)")
+def q_ring_repair(spark, sf_dir):
+    """GEO-04..08 as an invariant: no part of a repaired ring has a crossing."""
+    parts = rings.repaired(ring_rows(spark, sf_dir)).withColumn("points", F.col("points"))
+    again = rings.repaired(parts.drop("part_no", "crossings_before"))
+    return again.groupBy("user_id").agg(F.sum("crossings_before").cast("long").alias("crossings_left"))
+
+
+@query()
+def q_ring_hull(spark, sf_dir):
+    """GEO-07: hull area of each ring beside the ring's own."""
+    from terrasift.functions import geometry
+    from terrasift.session import ship
+
+    ship(spark)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["user_id", "ring_area"]].assign(hull_area=[geometry.area(geometry.hull(rings.as_array(p))) for p in pdf["points"]])
+
+    areas = ring_rows(spark, sf_dir).withColumn("ring_area", F.abs(rings.double_area(F.col("points"))) / 2)
+    return areas.mapInPandas(run, "user_id long, ring_area double, hull_area double")
+
+
+@query(f"WITH {_V} SELECT user_id, sha256(string_agg(t, ';' ORDER BY t)) AS geometry_key FROM (SELECT DISTINCT user_id, y || ',' || x AS t FROM w) GROUP BY user_id")
+def q_ring_key(spark, sf_dir):
+    """GEO-10, FN-23: digest of a ring's sorted distinct vertices."""
+    tokens = F.array_sort(F.array_distinct(F.transform("points", lambda p: F.concat_ws(",", p["y"].cast("long").cast("string"), p["x"].cast("long").cast("string")))))
+    return ring_rows(spark, sf_dir).select("user_id", F.sha2(F.array_join(tokens, ";"), 256).alias("geometry_key"))
+
+
+@query("""WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS t FROM events),
+w AS (SELECT * FROM v WHERE i <= 6), l AS (SELECT user_id, list(t ORDER BY i) AS f FROM w GROUP BY user_id),
+o AS (SELECT user_id, CASE WHEN len(f) > 1 AND f[1] = f[-1] THEN f[1:len(f) - 1] ELSE f END AS f FROM l),
+d AS (SELECT user_id, f AS r FROM o UNION ALL SELECT user_id, list_reverse(f) FROM o),
+s AS (SELECT user_id, list_concat(r[k:len(r)], r[1:k - 1]) AS z FROM d, (SELECT unnest(range(1, 7)) AS k) q WHERE k <= len(r))
+SELECT user_id, array_to_string(min(z), '|') AS canonical FROM s GROUP BY user_id""")
+def q_ring_canonical(spark, sf_dir):
+    """GEO-11: least rotation over both directions."""
+    return ring_rows(spark, sf_dir, 6).select("user_id", F.array_join(rings.canonical(F.transform("points", lambda p: p["y"].cast("long").cast("string"))), "|").alias("canonical"))
+
+
+@query()
+def q_collapse(spark, sf_dir):
+    """WIN-08: a fold that compares each value with the last one kept."""
+    step = lambda kept, v: F.when(F.size(kept) == 0, F.array(v)).when(F.abs(F.element_at(kept, -1) - v) <= 500, kept).otherwise(F.concat(kept, F.array(v)))
+    kept = F.aggregate(F.transform("points", lambda p: p["y"].cast("long")), F.array().cast("array<bigint>"), step)
+    return ring_rows(spark, sf_dir).select("user_id", F.array_join(F.transform(kept, lambda v: v.cast("string")), ",").alias("kept"))
+
+
+@query()
+def q_lattice(spark, sf_dir):
+    """GEO-08 on suppliers laid on a 500 m grid: bare grids go, so nothing is left of full ones."""
+    k = F.col("s_suppkey")
+    vertex = F.struct(k.cast("int").alias("seq"), k.cast("string").alias("name"), (500000.0 + 500 * (k % 5)).alias("y"), (4300000.0 + 500 * (F.floor(k / 5) % 5)).alias("x"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    grid = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(vertex)).alias("points"))
+    left = rings.repaired(grid).groupBy("s_nationkey").agg(F.sum(F.size("points")).alias("n"))
+    return grid.select("s_nationkey", F.size("points").alias("given")).join(left, "s_nationkey", "left").select("s_nationkey", "given", F.coalesce("n", F.lit(0)).alias("kept"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_orderkey)
+SELECT a.k AS small_key, min(b.k) AS big_key FROM s a, s b, LATERAL (SELECT 1) z WHERE list_contains(b.p, a.p[1]) AND len(b.p) > len(a.p) AND list_has_all(b.p, a.p) GROUP BY a.k""")
+def q_subset_rings(spark, sf_dir):
+    """SET-03: orders whose parts are a strict subset of another order's."""
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
+    small = sets.select(F.col("k").alias("small_key"), F.col("p").alias("ps"), F.element_at("p", 1).alias("v"))
+    big = sets.select(F.col("k").alias("b"), F.col("p").alias("pb"), F.explode("p").alias("v"))
+    return small.join(big, "v").where((F.size("pb") > F.size("ps")) & (F.size(F.array_except("ps", "pb")) == 0)).groupBy("small_key").agg(F.min("b").alias("big_key"))
+
+
+@query(f"WITH {_V} SELECT user_id, CASE WHEN max(n) < 3 OR (user_id % 2 = 0 AND abs(sum(y1 * x2 - y2 * x1)) > 10000) THEN 'POINT' ELSE 'POLYGON' END AS geometry_type FROM e GROUP BY user_id")
+def q_pin_rule(spark, sf_dir):
+    """GEO-14: even users stand for galleries."""
+    area = q_ring_area(spark, sf_dir)
+    return area.select("user_id", F.when((F.col("vertices") < 3) | ((F.col("user_id") % 2 == 0) & (F.col("double_area") > 2 * rings.PIN_LIMIT_M2)), "POINT").otherwise("POLYGON").alias("geometry_type"))
+
+
+@query()
+def q_geom_near(spark, sf_dir):
+    """GEO-13: each ring against itself moved by 0.5 and by 2 metres."""
+    from terrasift.functions import geometry
+    from terrasift.session import ship
+
+    ship(spark)
+
+    def run(batches):
+        for pdf in batches:
+            r = [rings.as_array(p) for p in pdf["points"]]
+            yield pdf[["user_id"]].assign(near=[geometry.near_equal(x, x + 0.5) for x in r], far=[geometry.near_equal(x, x + 2.0) for x in r])
+
+    return ring_rows(spark, sf_dir).mapInPandas(run, "user_id long, near boolean, far boolean")
+
+
+# ---- gate -------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS computed FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, abs(computed - o_totalprice) <= greatest(0.15 * o_totalprice, 0.1) AS within FROM orders JOIN l ON l_orderkey = o_orderkey WHERE o_totalprice > 0""")
+def q_area_qa(spark, sf_dir):
+    """QA-01: order totals as declared, sums of their lines as computed areas."""
+    computed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100).alias("computed"))
+    joined = table(spark, sf_dir, "orders").join(computed, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.withColumn("qa", gate.compare_area(F.col("o_totalprice"), F.col("computed"))).where("qa is not null").select("o_orderkey", F.col("qa.match").alias("within"))
+
+
+@query("""SELECT c_custkey, CASE WHEN lon < 25 OR lon > 45.5 OR lat < 35.5 OR lat > 42.5 THEN 'CRS_LONLAT_OUT_OF_RANGE' WHEN area > 5000 AND NOT coalesce(area <= greatest(5000, d * 1.15, d + 0.1), false) THEN 'CRS_AREA_INSANE' END AS code
+FROM (SELECT c_custkey, 20.0 + c_custkey % 30 AS lon, 35.0 + c_nationkey % 10 AS lat, c_acctbal AS area, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal * 0.9 END AS d FROM customer)""")
+def q_sanity(spark, sf_dir):
+    """QA-02 on customers: balance as area, keys as positions."""
+    k = F.col("c_custkey")
+    code = gate.sanity_code(F.col("c_acctbal"), F.when(k % 3 == 0, F.col("c_acctbal") * 0.9), 20.0 + k % 30, 35.0 + F.col("c_nationkey") % 10)
+    return table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"))
+
+
+@query("""WITH c AS (SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS l, bool_or(o_orderpriority = '5-LOW') AS d FROM orders GROUP BY o_custkey)
+SELECT c_custkey, NOT coalesce(l AND d, false) AS missing FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
+def q_layer_gate(spark, sf_dir):
+    """QA-04: customers without both an urgent and a low order, those without orders included."""
+    has = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("l"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("d"))
+    return table(spark, sf_dir, "customer").join(has, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", (~F.coalesce(F.col("l") & F.col("d"), F.lit(False))).alias("missing"))
+
+
+@query("""WITH k AS (SELECT s_suppkey, s_nationkey % 4 AS kind, CAST(floor(s_acctbal / 500) AS BIGINT) AS key FROM supplier)
+SELECT s_suppkey, kind = 0 AND max(CASE WHEN kind <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AS suppressed,
+ kind IN (1, 2) AND max(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AND max(CASE WHEN kind = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AS silent FROM k""")
+def q_identical_ring(spark, sf_dir):
+    """QA-03: equal geometry keys (here balances); kind 0 is untyped, 1 licence, 2 CED."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 4).alias("kind"), F.floor(F.col("s_acctbal") / 500).alias("key"))
+    same = Window.partitionBy("key")
+    has = lambda c: F.max(F.when(c, 1).otherwise(0)).over(same) == 1
+    kind = F.col("kind")
+    return rows.select("s_suppkey", ((kind == 0) & has(kind != 0)).alias("suppressed"), (kind.isin(1, 2) & has(kind == 1) & has(kind == 2)).alias("silent"))
+
+
+@query("""WITH r AS (SELECT c_custkey, 'AREA_MISMATCH' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'CRS_AREA_INSANE' FROM customer WHERE c_acctbal > 9000 UNION ALL
+ SELECT c_custkey, 'MISSING_RUHSAT_OR_CED' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)),
+g AS (SELECT c_custkey, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM r GROUP BY c_custkey)
+SELECT customer.c_custkey AS doc_id, codes IS NULL AS ok, coalesce(codes || ',EXPORT_BLOCKED', '') AS codes FROM customer LEFT JOIN g ON g.c_custkey = customer.c_custkey""")
+def q_gate_codes(spark, sf_dir):
+    """QA-06: verdicts from reasons."""
+    customer = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "doc_id")
+    none = customer.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("doc_id"), "left_anti")
+    why = customer.where("c_acctbal < 0").select("doc_id", F.lit("AREA_MISMATCH").alias("code")).union(customer.where("c_acctbal > 9000").select("doc_id", F.lit("CRS_AREA_INSANE"))).union(none.select("doc_id", F.lit("MISSING_RUHSAT_OR_CED")))
+    return gate.verdicts(why, customer).select("doc_id", "ok", F.array_join("codes", ",").alias("codes"))
+
+
+@query("""SELECT 'AREA_MISMATCH' AS code, s_suppkey % 5 AS table_index, min(s_suppkey) AS first_key, s_nationkey AS doc_id FROM supplier GROUP BY s_suppkey % 5, s_nationkey""")
+def q_diagnostics_merge(spark, sf_dir):
+    """SET-04: the first of equal diagnostics."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.lit("AREA_MISMATCH").alias("code"), (F.col("s_suppkey") % 5).alias("table_index"), F.lit(None).cast("string").alias("polygon_group"), F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("severity"), F.lit("x").alias("stage"))
+    return gate.merged(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).select("code", "table_index", F.col("severity").cast("long").alias("first_key"), "doc_id")
+
+
+# ---- numbers, labels, text --------------------------------------------------------------
+
+_FORMATS = """CASE k % 5 WHEN 0 THEN w || '.' || t || '.' || u || ',' || c WHEN 1 THEN w || ',' || t || ',' || u || '.' || c WHEN 2 THEN w || ' ' || t || ' ' || u || ',' || c WHEN 3 THEN w || t || u || ',' || c ELSE w || t || u || '.' || c END"""
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_orderkey + l_linenumber AS k, CAST(round(l_extendedprice * 100) AS BIGINT) + 100000000 AS cents FROM lineitem),
+q AS (SELECT *, CAST(cents // 100000000 AS VARCHAR) AS w, lpad(CAST(cents // 100000 % 1000 AS VARCHAR), 3, '0') AS t, lpad(CAST(cents // 100 % 1000 AS VARCHAR), 3, '0') AS u, lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS c FROM p)
+SELECT l_orderkey, l_linenumber, {_FORMATS} AS written, cents FROM q""")
+def q_num_parse(spark, sf_dir):
+    """FN-01, FN-02: prices written in five styles, parsed back to cents."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long") + 100000000
+    three = lambda c: F.lpad(c.cast("string"), 3, "0")
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") + F.col("l_linenumber")).alias("k"), cents.alias("cents"))
+    parts = parts.withColumns({"w": F.expr("cents div 100000000").cast("string"), "t": three(F.expr("cents div 100000 % 1000")), "u": three(F.expr("cents div 100 % 1000")), "c": F.lpad((F.col("cents") % 100).cast("string"), 2, "0")})
+    written = parts.withColumn("written", F.expr(_FORMATS))
+    return written.select("l_orderkey", "l_linenumber", "written", F.round(numbers.parse_number(F.col("written")) * 100).cast("long").alias("cents"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS digit_runs, len(list_filter(regexp_extract_all(text, '[0-9]{6,7}'), lambda t: CAST(t AS BIGINT) BETWEEN 100000 AND 999999)) AS eastings FROM documents")
+def q_num_tokens(spark, sf_dir):
+    """FN-03, FN-07, AGG-15: digit runs of documents and how many are legal eastings."""
+    runs = F.regexp_extract_all("text", F.lit("[0-9]{6,7}"), 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("digit_runs"), F.size(F.filter(runs, lambda t: numbers.is_easting(t.cast("long")))).alias("eastings"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, 100000 + o_orderkey % 900000 AS y, 3000000 + o_custkey % 2000000 AS x FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN x || ':' || y ELSE y || ' : ' || x END AS pair, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x FROM o""")
+def q_pair_parse(spark, sf_dir):
+    """FN-04, FN-08: ``a:b`` pairs in either order, parsed and put in the legal order."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (100000 + F.col("o_orderkey") % 900000).alias("y"), (3000000 + F.col("o_custkey") % 2000000).alias("x"))
+    pair = F.when(F.col("o_orderkey") % 3 == 0, F.concat_ws(":", "x", "y")).otherwise(F.concat_ws(" : ", "y", "x"))
+    found = o.select("o_orderkey", pair.alias("pair")).withColumn("p", numbers.combined_pair(F.col("pair"))).withColumn("u", numbers.order_utm(F.col("p.first"), F.col("p.second")))
+    return found.select("o_orderkey", "pair", F.col("u.y").cast("long").alias("y"), F.col("u.x").cast("long").alias("x"))
+
+
+@query("""SELECT p_partkey, regexp_extract(upper(l), '^([A-Z]+)\\.([0-9]+)$', 1) AS stem, CAST(regexp_extract(upper(l), '^([A-Z]+)\\.([0-9]+)$', 2) AS INTEGER) AS number FROM (SELECT p_partkey, chr(97 + CAST(p_partkey % 26 AS INTEGER)) || '.' || p_size AS l FROM part)""")
+def q_label_series(spark, sf_dir):
+    """FN-11: series of labels like ``r.12``."""
+    label = F.concat(F.chr((97 + F.col("p_partkey") % 26)), F.lit("."), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", labels.label_series(label).alias("s")).select("p_partkey", "s.stem", "s.number")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'LABEL_IR_' || p_size WHEN 1 THEN 'LABEL_CED_' || p_size WHEN 2 THEN 'LABEL_M' || p_size || '_CED' ELSE 'LABEL_GALERI_' || p_size END AS label_group FROM part""")
+def q_label_group(spark, sf_dir):
+    """FN-10, FN-12: groups that labels name."""
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    label = F.when(k == 0, F.concat(F.lit("ir-"), s, F.lit("-3"))).when(k == 1, F.concat(s, F.lit("-CED-2"))).when(k == 2, F.concat(F.lit("m"), s, F.lit(" CED-1"))).otherwise(F.concat(s, F.lit("  galerl-1")))
+    return table(spark, sf_dir, "part").select("p_partkey", labels.group_from_label(label).alias("label_group"))
+
+
+@query(f"SELECT doc_id, translate(upper(replace(substr(text, 1, 400), 'ß', 'ss')), '{text.ACCENTED}', '{text.PLAIN}') AS folded FROM documents WHERE lang IN ('de', 'fr', 'es')")
+def q_fold(spark, sf_dir):
+    """FN-15 on the first characters of documents with accents (the folded excerpt is the result)."""
+    return table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr", "es")).select("doc_id", text.fold(F.substring("text", 1, 400)).alias("folded"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'EPSG:23036|' || CAST(512000 + l_orderkey % 1000 AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '.5' END || '|' || CAST(4301000 + l_partkey % 1000 AS VARCHAR) AS token FROM lineitem""")
+def q_token(spark, sf_dir):
+    """FN-16, FN-24: canonical tokens of values written with trailing zeros."""
+    y = F.concat((512000 + F.col("l_orderkey") % 1000).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ".000").otherwise(".50"))
+    x = F.concat((4301000 + F.col("l_partkey") % 1000).cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.projected_token(F.lit(23036), y, x).alias("token"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 10000 WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 10000 + 5000 ELSE NULL END AS declared FROM part""")
+def q_declared_area(spark, sf_dir):
+    """FN-17, FN-18: declared square metres of captions in four styles."""
+    s, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    caption = F.when(k == 0, F.concat(F.lit("Stok Alanı (999 m² / "), s, F.lit(",00 ha)"))).when(k == 1, F.concat(F.lit("Pasa "), s, F.lit(".000 m²"))).when(k == 2, F.concat(s, F.lit(",5 hektar"))).otherwise(F.concat(F.lit("Toplam Alan: "), s, F.lit(" ha")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(numbers.declared_hectares(caption) * 10000).cast("int").alias("declared"))
+
+
+@query("""SELECT page_id, coalesce(nullif(trim(substr(trim(regexp_replace(regexp_replace(url, '[<>:"/\\\\|?*]', '_', 'g'), '\\s+', ' ', 'g'), ' ._'), 1, 150), ' ._'), ''), 'Bilinmiyor') AS component FROM pages""")
+def q_sanitize(spark, sf_dir):
+    """FN-21: URLs as path components."""
+    return table(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("url")).alias("component"))
+
+
+@query("""SELECT doc_id, n AS digits_kept FROM (SELECT doc_id, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n, length(regexp_replace(text, '\\s', '', 'g')) AS shown FROM documents) WHERE shown >= 50""")
+def q_text_usable(spark, sf_dir):
+    """SRC-05: texts of enough visible characters, with the digits in them."""
+    shown = F.length(F.regexp_replace("text", r"\s", ""))
+    return table(spark, sf_dir, "documents").where(shown >= 50).select("doc_id", F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits_kept"))
+
+
+@query()
+def q_usable(spark, sf_dir):
+    """SRC-05 in full (its letter classes have no counterpart in the other engine)."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.usable(F.col("text")).alias("usable"))
+
+
+# ---- lines, segmentation ----------------------------------------------------------------
+
+_LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
+
+
+@query(f"WITH {_LINES} SELECT doc_id, line_no, NULL::INTEGER AS page_no, text FROM l")
+def q_lines(spark, sf_dir):
+    """SRC-06, SEG-06, WIN-01: lines of documents; none has a page marker."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sources.lines(docs).select("doc_id", "line_no", "page_no", "text")
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts, value, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
+SELECT user_id, island, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM s GROUP BY user_id, island""")
+def q_islands(spark, sf_dir):
+    """SEG-01's relational profile: an error opens a block."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = table(spark, sf_dir, "events").withColumn("island", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(order))
+    return marked.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+
+
+@query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT *, min(CASE WHEN event_type = 'error' THEN k END) OVER (PARTITION BY user_id) AS a FROM r),
+g AS (SELECT *, min(CASE WHEN event_type = 'purchase' AND k > a THEN k END) OVER (PARTITION BY user_id) AS b FROM f) SELECT user_id, k FROM g WHERE k >= a AND (b IS NULL OR k < b)""")
+def q_section_slice(spark, sf_dir):
+    """SEG-05, WIN-06: from the first error up to the next purchase."""
+    rows = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return index.section_span(rows, F.col("event_type") == "error", F.col("event_type") == "purchase", "user_id", "k").select("user_id", "k")
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS num, lag(l_partkey % 50) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS prev, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seen, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, min(l_linenumber) AS break_at FROM s WHERE num <= prev AND seen > 3 AND n - seen + 1 >= 3 GROUP BY l_orderkey""")
+def q_series_break(spark, sf_dir):
+    """WIN-02: the first place where a numbering stops rising, after more than three and before three."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    num = F.col("l_partkey") % 50
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", num.alias("num"), F.lag(num).over(order).alias("prev"), F.row_number().over(order).alias("seen"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    return rows.where("num <= prev and seen > 3 and n - seen + 1 >= 3").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("break_at"))
+
+
+@query("""WITH r AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href\\s*=\\s*"([^"]*)"', 1)) AS link FROM pages), d AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, replace(link, '&amp;', '&') AS link FROM r)
+SELECT DISTINCT page_id, CASE WHEN regexp_matches(link, '^https?://') THEN link WHEN starts_with(link, '/') THEN host || link ELSE host || '/' || link END AS link FROM d""")
+def q_html_links(spark, sf_dir):
+    """SRC-13."""
+    return sources.html_links(table(spark, sf_dir, "pages"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 8 AS k FROM part) SELECT p_partkey, CASE k WHEN 0 THEN 'RUHSAT_ALANI' WHEN 1 THEN 'YENI_CED_ALANI' WHEN 2 THEN 'MEVCUT_CED_ALANI' WHEN 3 THEN 'CED_ALANI' WHEN 4 THEN 'STOK_ALANI' WHEN 5 THEN 'TESIS_ALANI' WHEN 6 THEN 'GALERI_ALANI' ELSE 'DIGER' END AS area_type FROM p""")
+def q_classify(spark, sf_dir):
+    """CLS-01, CLS-03: captions of eight kinds."""
+    names = ["Ruhsat Alanı Koordinatları", "Talep Edilen ÇED Alanı", "Mevcut ÇED Alanı", "1 No.lu ÇED Alanı", "Stok Alanı (Talep Edilen ÇED Alanı)", "Kırma Tesisi Koordinatları (ÇED Alanı)", "Galeri Ağzı", "Genel Bilgiler"]
+    heading = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_size") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", classify.area_type(heading).alias("area_type"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'RUHSAT_ALANI' WHEN event_type = 'click' THEN 'STOK_ALANI' ELSE 'DIGER' END AS t FROM events),
+c AS (SELECT *, last_value(CASE WHEN t = 'RUHSAT_ALANI' THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM e)
+SELECT event_id, CASE WHEN t = 'DIGER' THEN coalesce(p, 'DIGER') ELSE t END AS effective_type FROM c""")
+def q_inherit(spark, sf_dir):
+    """CLS-05, CRS-04, JN-07: untyped rows take the last dominant type before them."""
+    kind = F.when(F.col("event_type") == "purchase", "RUHSAT_ALANI").when(F.col("event_type") == "click", "STOK_ALANI").otherwise("DIGER")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.struct("ts", "event_id").alias("table_index"), "event_id", kind.alias("table_type"))
+    return classify.inherited(rows).select("event_id", "effective_type")
+
+
+# ---- CRS --------------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN 'CONFLICTING' WHEN n_nationkey % 3 = 0 THEN 'HIGH' ELSE 'UNRESOLVED' END AS confidence, CASE WHEN n_nationkey % 3 = 0 THEN 23035 + n_nationkey % 5 END AS epsg FROM nation""")
+def q_datum(spark, sf_dir):
+    """CRS-01, CRS-02: datum lines with a zone, without one, and with two."""
+    k = F.col("n_nationkey")
+    zone = F.concat(F.lit("Zon : "), (35 + k % 5).cast("string"))
+    body = F.when(k % 3 == 0, F.concat_ws("\n", F.lit("Datum : ED-50"), zone)).when(k % 3 == 1, "Datum : ED-50").otherwise(F.concat_ws("\n", F.lit("Datum : ED 50"), F.lit("Zon : 35"), F.lit("Zone 36")))
+    found = table(spark, sf_dir, "nation").select("n_nationkey", crs.datums(body).alias("d"))
+    return found.select("n_nationkey", "d.confidence", crs.epsg_of(F.col("d.datum"), F.col("d.zone")).alias("epsg"))
+
+
+@query("SELECT s_suppkey, CAST(500000 + (s_suppkey * 37) % 300000 AS BIGINT) AS y, CAST(4000000 + (s_suppkey * 1013) % 500000 AS BIGINT) AS x FROM supplier")
+def q_utm(spark, sf_dir):
+    """CRS-03, CRS-07: WGS84 UTM to degrees and forward again, to the metre."""
+    y, x = F.col("s_suppkey") * 37 % 300000 + 500000, F.col("s_suppkey") * 1013 % 500000 + 4000000
+    there = table(spark, sf_dir, "supplier").select("s_suppkey", crs.to_wgs84(y.cast("double"), x.cast("double"), F.lit(32636)).alias("w"))
+    rad = lambda c: F.radians(c)
+    east, north = crs.forward_utm(rad(F.col("w.longitude")), rad(F.col("w.latitude")), F.lit(36.0))
+    return there.select("s_suppkey", F.round(east).cast("long").alias("y"), F.round(north).cast("long").alias("x"))
+
+
+@query("""WITH k AS (SELECT l_partkey % 100 AS y, l_suppkey % 10 AS x, 23035 + l_linenumber % 2 AS epsg, l_orderkey, l_linenumber FROM lineitem), c AS (SELECT y, x, count(DISTINCT epsg) AS n FROM k GROUP BY y, x)
+SELECT l_orderkey, l_linenumber, n > 1 AS crs_conflict FROM k JOIN c USING (y, x)""")
+def q_crs_conflict(spark, sf_dir):
+    """CRS-05: one pair under two codes."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1).alias("doc_id"), (F.col("l_partkey") % 100).alias("utm_y"), (F.col("l_suppkey") % 10).alias("utm_x"), (23035 + F.col("l_linenumber") % 2).cast("int").alias("projected_crs_epsg"))
+    return points.with_conflicts(rows).select("l_orderkey", "l_linenumber", "crs_conflict")
+
+
+# ---- joins, dedup, windows --------------------------------------------------------------
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def q_dedup_first(spark, sf_dir):
+    """AGG-01."""
+    return points.first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def q_latest(spark, sf_dir):
+    """AGG-10."""
+    return points.latest_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id")
+
+
+@query("SELECT sha256(text) AS identity, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def q_dup_pairs(spark, sf_dir):
+    """JN-04, AGG-14 on exact content: one row per class of equal documents."""
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("identity")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events), m AS (SELECT a.event_id, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.c - b.c), b.event_id) AS k FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click')
+SELECT event_id, other FROM m WHERE k = 1""")
+def q_nearest(spark, sf_dir):
+    """JN-05: the click nearest in value to each purchase of a user."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("c"))
+    a, b = e.where("event_type = 'purchase'").alias("a"), e.where("event_type = 'click'").alias("b")
+    best = F.min_by(F.col("b.event_id"), F.struct(F.abs(F.col("a.c") - F.col("b.c")), F.col("b.event_id"))).alias("other")
+    return a.join(b, F.col("a.user_id") == F.col("b.user_id")).groupBy(F.col("a.event_id").alias("event_id")).agg(best)
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS cell_id, CAST(l_linenumber * 10 AS DOUBLE) AS y0, CAST(l_linenumber * 10 + 25 AS DOUBLE) AS y1 FROM lineitem), r AS (SELECT l_orderkey AS page, l_linenumber AS row_id, CAST(l_linenumber * 10 + 1 AS DOUBLE) AS y0, CAST(l_linenumber * 10 + 9 AS DOUBLE) AS y1 FROM lineitem)
+SELECT c.page, c.cell_id, r.row_id FROM c JOIN r ON r.page = c.page AND r.y0 >= c.y0 - 0.01 AND r.y1 <= c.y1 + 0.01""")
+def q_containment(spark, sf_dir):
+    """SEG-08, JN-06: rows within cells on the same page."""
+    n = F.col("l_linenumber")
+    lines_ = table(spark, sf_dir, "lineitem")
+    cells = lines_.select(F.col("l_orderkey").alias("page"), n.alias("cell_id"), (n * 10.0).alias("y0"), (n * 10.0 + 25).alias("y1")).distinct()
+    rows = lines_.select(F.col("l_orderkey").alias("page"), n.alias("row_id"), (n * 10.0 + 1).alias("y0"), (n * 10.0 + 9).alias("y1"))
+    return points.covered_rows(cells, rows)
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+def q_semi(spark, sf_dir):
+    """JN-03."""
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def q_anti(spark, sf_dir):
+    """JN-03, ORC-07: resume."""
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return corpus.unfinished(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def q_left(spark, sf_dir):
+    """JN-01, JN-02."""
+    some = table(spark, sf_dir, "nation").where("n_regionkey < 3")
+    return table(spark, sf_dir, "customer").join(some, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+@query("""WITH o AS (SELECT user_id, CAST(round(value) AS BIGINT) AS printed, CASE WHEN event_type = 'click' THEN CAST(round(value) AS BIGINT) + event_id % 7 END AS physical, event_id FROM events),
+m AS (SELECT user_id, list_sort(list(physical - printed) FILTER (physical IS NOT NULL)) AS f FROM o GROUP BY user_id)
+SELECT event_id, coalesce(physical, CASE WHEN printed + f[len(f) // 2 + 1] >= 1 THEN printed + f[len(f) // 2 + 1] END) AS page_guess FROM o JOIN m USING (user_id)""")
+def q_median_fill(spark, sf_dir):
+    """WIN-03: the upper median of known offsets fills the unresolved."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.round("value").cast("long").alias("printed_page"))
+    known = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "click").alias("k"))
+    both = rows.join(known, "event_id").withColumn("physical_page", F.when(F.col("k"), F.col("printed_page") + F.col("event_id") % 7))
+    return index.offset_filled(both, ["user_id"]).select("event_id", "page_guess")
+
+
+@query("SELECT DISTINCT o_custkey, p FROM (SELECT o_custkey, unnest(range(greatest(1, o_orderkey % 50 - 1), least(o_orderkey % 50 + 3, 45) + 1)) AS p FROM orders WHERE greatest(1, o_orderkey % 50 - 1) <= least(o_orderkey % 50 + 3, 45))")
+def q_expand(spark, sf_dir):
+    """WIN-04, SET-02: page neighbourhoods."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_orderkey") % 50).alias("p"), F.lit(45).cast("long").alias("n"))
+    return index.expanded(rows, "p", "n")
+
+
+@query("""WITH r AS (SELECT user_id, event_id % 40 AS page, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events), l AS (SELECT *, lag(page) OVER (PARTITION BY user_id ORDER BY rank) AS prev FROM r)
+SELECT user_id, rank, CAST(sum(CASE WHEN page - prev > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rank) AS BIGINT) AS group_no FROM l""")
+def q_proximity(spark, sf_dir):
+    """WIN-05 over ranked pages."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("value").desc(), "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 40).alias("page"), rank.alias("rank"))
+    return index.proximity_groups(rows, ["user_id"], "rank", "page").select("user_id", "rank", F.col("group_no").cast("long").alias("group_no"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 120 AS score FROM events), k AS (SELECT *, max(CASE WHEN score >= 70 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS strong FROM s),
+r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) AS rank FROM k WHERE score >= 70 OR (strong = 0 AND score > 0)) SELECT user_id, event_id, rank FROM r WHERE rank <= 12""")
+def q_targets(spark, sf_dir):
+    """TOP-02: the best twelve, strong ones if there are any."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") % 120).alias("score"))
+    return index.targets(rows, "user_id", "event_id").select("user_id", "event_id", "rank")
+
+
+@query()
+def q_index_parse(spark, sf_dir):
+    """WIN-07 over an index generated from parts: an entry in two lines takes the next line's page."""
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("TABLOLAR DİZİNİ\n"), F.concat_ws("\n", F.concat(F.lit("Tablo "), F.col("p_size").cast("string"), F.lit(". Stok Alanı ..... "), k.cast("string")), F.lit("Tablo 99. ÇED Alanı Koordinatları"), (k + 1).cast("string")))
+    return index.entries(sources.lines(table(spark, sf_dir, "part").select(k.alias("doc_id"), body.alias("text")))).select("doc_id", "table_no", "title", "printed_page", "in_index")
+
+
+# ---- corpus -----------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT l_returnflag, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
+SELECT l_returnflag, count(cents) AS n, CAST(sum(cents) AS BIGINT) AS total, CAST(median(cents) AS DOUBLE) AS median, quantile_disc(cents, 0.9) AS p90, max(cents) AS maximum FROM v GROUP BY l_returnflag""")
+def q_distribution(spark, sf_dir):
+    """AGG-04."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return corpus.distribution(rows, ["l_returnflag"], "cents").drop("mean")
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS grouping, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS large FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))""")
+def q_summary(spark, sf_dir):
+    """AGG-05..07."""
+    return corpus.breakdown(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], {"n": F.count("*"), "large": F.count_if(F.col("o_totalprice") > 100000)})
+
+
+@query("""WITH t AS (SELECT l_suppkey, CAST(l_partkey AS VARCHAR) || '|' || l_linenumber AS token, l_returnflag = 'A' AS strong FROM lineitem)
+SELECT l_suppkey, count(*) AS points, count(DISTINCT token) AS unique_tokens, count(DISTINCT CASE WHEN strong THEN token END) AS strong_tokens, sha256(string_agg(DISTINCT token, chr(10) ORDER BY token)) AS fingerprint FROM t GROUP BY l_suppkey""")
+def q_snapshot(spark, sf_dir):
+    """AGG-08."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("token"), F.lit(23036).alias("epsg"), F.when(F.col("l_returnflag") == "A", "HIGH").otherwise("UNRESOLVED").alias("confidence"), F.lit(False).alias("conflict"))
+    return corpus.snapshot(rows, ["l_suppkey"], "token", "epsg", "confidence", "conflict").drop("tokens")
+
+
+@query("""SELECT l_partkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS confidences, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS identities, bool_or(l_discount > 0.09) AS any_conflict FROM lineitem GROUP BY l_partkey""")
+def q_provenance(spark, sf_dir):
+    """AGG-09."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("conflict", F.col("l_discount") > 0.09)
+    out = corpus.token_provenance(rows, "l_partkey", "l_returnflag", "l_linestatus", "conflict")
+    return out.select("l_partkey", F.array_join("confidences", ",").alias("confidences"), F.array_join("identities", ",").alias("identities"), "any_conflict")
+
+
+@query("""WITH p AS (SELECT c_mktsegment, c_nationkey, count(*) AS population FROM customer GROUP BY ALL), s AS (SELECT c_mktsegment, c_nationkey, count(*) AS sampled, count(*) FILTER (c_acctbal > 5000) AS hits FROM customer WHERE c_custkey % 10 = 0 GROUP BY ALL)
+SELECT p.c_mktsegment, p.c_nationkey, population, sampled IS NOT NULL AS covered, hits / sampled * population AS estimate FROM p LEFT JOIN s USING (c_mktsegment, c_nationkey)""")
+def q_projection(spark, sf_dir):
+    """AGG-12: a tenth of the customers projects onto all."""
+    customer = table(spark, sf_dir, "customer")
+    out = corpus.projection(customer, customer.where("c_custkey % 10 = 0"), ["c_mktsegment", "c_nationkey"], F.col("c_acctbal") > 5000)
+    return out.select("c_mktsegment", "c_nationkey", "population", "covered", "estimate")
+
+
+_POP = "p AS (SELECT c_mktsegment || '-' || c_nationkey AS key, count(*) AS population FROM customer GROUP BY ALL)"
+
+
+@query(f"""WITH {_POP}, b AS (SELECT *, 137 - count(*) OVER () AS rest, CAST(sum(population) OVER () AS BIGINT) AS al FROM p), s AS (SELECT *, population * rest // al AS fl, population * rest % al AS fr FROM b),
+r AS (SELECT *, rest - CAST(sum(fl) OVER () AS BIGINT) AS op, row_number() OVER (ORDER BY fr DESC, key) AS k FROM s) SELECT key, population, CAST(1 + fl + CASE WHEN k <= op THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r""")
+def q_alloc_remainder(spark, sf_dir):
+    """TOP-05: 137 seats over segments and nations, one each at least."""
+    pop = table(spark, sf_dir, "customer").groupBy(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key")).agg(F.count("*").alias("population"))
+    return corpus.largest_remainder(pop, 137, minimum_one=True)
+
+
+@query()
+def q_alloc_nearest(spark, sf_dir):
+    """TOP-04: 500 seats by rounding and correction; they sum to 500."""
+    pop = table(spark, sf_dir, "customer").groupBy(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key")).agg(F.count("*").alias("population"))
+    return corpus.nearest_allocation(pop, 100, minimum_one=False)
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('primary-production-v1|' || c_custkey)) AS k FROM customer) WHERE k <= 20")
+def q_sample_seeded(spark, sf_dir):
+    """TOP-06, JN-01."""
+    customer = table(spark, sf_dir, "customer")
+    return corpus.seeded_sample(customer, customer.select("c_mktsegment").distinct().withColumn("quota", F.lit(20)), ["c_mktsegment"], "c_custkey", "primary-production-v1").select("c_custkey")
+
+
+@query("""WITH t AS (SELECT c_custkey, c_nationkey, c_mktsegment AS kind, sha256(CAST(c_custkey AS VARCHAR)) AS h FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY kind, c_nationkey ORDER BY h) AS rd FROM t),
+u AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY rd, c_nationkey) AS tn FROM r), i AS (SELECT *, tn <= CASE WHEN kind IN ('BUILDING', 'MACHINERY') THEN 25 ELSE 0 END AS ins FROM u) SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY ins DESC, h) AS o FROM i) WHERE o <= 50""")
+def q_pilot(spark, sf_dir):
+    """TOP-03: half of each of two kinds, nations in turn."""
+    return corpus.balanced_pilot(table(spark, sf_dir, "customer"), 50, "c_mktsegment", "c_nationkey", "c_custkey", ("BUILDING", "MACHINERY")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r, greatest(count(*) OVER () // 40, 1) AS k FROM customer) WHERE r % k = 0 AND r // k < 40")
+def q_systematic(spark, sf_dir):
+    """TOP-07."""
+    return corpus.systematic(table(spark, sf_dir, "customer"), 40, ["c_custkey"]).select("c_custkey")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 1")
+def q_claim(spark, sf_dir):
+    """TOP-08, STR-01: the job that a worker would take."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), F.when(F.col("event_type") == "error", "PENDING").otherwise("COMPLETED").alias("status"))
+    return jobs.claim(rows).select(F.col("job_id").alias("event_id"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_suppkey) SELECT a.l_suppkey, len(list_filter(b.p, lambda x: NOT list_contains(a.p, x))) AS fresh, len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) AS lost,
+CASE WHEN len(list_filter(b.p, lambda x: NOT list_contains(a.p, x))) = 0 AND len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) = 0 THEN 'SAME_GEOMETRY' WHEN len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) = 0 THEN 'NEW_UNIQUE_GEOMETRY' ELSE 'MIXED_OR_OTHER' END AS change FROM s a JOIN s b ON b.l_suppkey = a.l_suppkey + 1""")
+def q_diff(spark, sf_dir):
+    """SET-01: a supplier's parts against the next one's."""
+    s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("p"))
+    a, b = s.alias("a"), s.select((F.col("l_suppkey") - 1).alias("l_suppkey"), F.col("p").alias("q")).alias("b")
+    none = F.array().cast("array<string>")
+    return a.join(b, "l_suppkey").select("l_suppkey", F.size(F.array_except("q", "p")).alias("fresh"), F.size(F.array_except("p", "q")).alias("lost"), corpus.snapshot_diff(F.col("p"), F.col("q"), none, none).alias("change"))
+
+
+_WANTED = "CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'IN_PROGRESS' WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'SKIPPED' END"
+
+
+def job_events(spark, sf_dir):
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), order.alias("seq"), F.expr(_WANTED).alias("wanted"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, {_WANTED} AS w FROM events),
+s(user_id, k, status, attempts, accepted, rejected) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), 0, 0, 0 FROM events UNION ALL
+SELECT s.user_id, e.k, CASE WHEN ok THEN w ELSE s.status END, s.attempts + CASE WHEN ok AND w = 'IN_PROGRESS' THEN 1 ELSE 0 END, s.accepted + CASE WHEN ok THEN 1 ELSE 0 END, s.rejected + CASE WHEN ok THEN 0 ELSE 1 END
+FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1, LATERAL (SELECT coalesce((s.status IS NULL AND w = 'PENDING') OR (s.status = 'PENDING' AND w IN ('IN_PROGRESS', 'SKIPPED')) OR (s.status = 'IN_PROGRESS' AND w IN ('COMPLETED', 'FAILED', 'SKIPPED')) OR (s.status = 'FAILED' AND w IN ('PENDING', 'SKIPPED')) OR (s.status = 'SKIPPED' AND w = 'PENDING'), false) AS ok) z)
+SELECT CAST(user_id AS VARCHAR) AS job_id, status, attempts, accepted, rejected FROM (SELECT *, max(k) OVER (PARTITION BY user_id) AS m FROM s) WHERE k = m""")
+def q_job_replay(spark, sf_dir):
+    """STR-02: the state machine over each user's events."""
+    return jobs.replay(job_events(spark, sf_dir))
+
+
+@query("""SELECT doc_id, CASE WHEN n_chars > 0 AND doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'FAST_TEXT_LIKELY' WHEN doc_id % 4 > 0 AND doc_id % 100 >= 70 THEN 'SELECTIVE_OCR_CANDIDATE' WHEN n_chars = 0 OR doc_id % 6 = 0 OR n_chars / (doc_id % 20 + 1) < 50 THEN 'SCAN_OR_HEAVY_FALLBACK_RISK' WHEN doc_id % 20 + 1 < 12 THEN 'WIDER_DISCOVERY_NEEDED' ELSE 'UNCERTAIN' END AS routing FROM documents""")
+def q_preflight(spark, sf_dir):
+    """ORC-06 with signals from the id and length of documents."""
+    k = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.preflight_class(F.col("n_chars"), k % 20 + 1, k % 6, F.lit(12), k % 4, k % 100, k % 5 == 0, k % 3 == 0).alias("routing"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_custkey % 7 = 0 THEN 'NO_USABLE_RESULT' WHEN o_orderkey % 5 = 0 THEN 'AMBIGUOUS' WHEN o_orderkey % 2 = 0 THEN 'HEAVY_INLINE_USABLE' ELSE 'QUICK_USABLE' END AS speed FROM orders""")
+def q_speed_class(spark, sf_dir):
+    """ORC-08: a null flag is ambiguous."""
+    k = F.col("o_orderkey")
+    flag = F.when(k % 5 == 0, None).otherwise(k % 2 == 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", corpus.speed_class(F.when(F.col("o_orderstatus") == "P", "HATA").otherwise("BASARILI"), F.col("o_custkey") % 7, flag).alias("speed"))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 5 DESC, event_id % 11 DESC, event_id % 3 DESC, event_id) AS k FROM events) WHERE k = 1""")
+def q_best_attempt(spark, sf_dir):
+    """AGG-11, ORC-02, ORC-03."""
+    k = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (k % 5).alias("polygons"), (k % 11).alias("coordinates"), (k % 3).alias("tables"))
+    return corpus.best_attempt(rows, "user_id", "event_id").select("user_id", "event_id")
+
+
+# ---- metadata, export -------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey AS doc_id, 'FIRMA ' || s_suppkey || ' A.Ş.' AS company, CASE WHEN 20000 + s_suppkey BETWEEN 3000000 AND 4999999 THEN 'Bilinmiyor' ELSE CAST(20000 + s_suppkey AS VARCHAR) END AS license_no, 'KROM / BAKIR' AS mine_type, CASE WHEN s_suppkey % 2 = 0 THEN 'EK-1' ELSE 'EK-2' END AS ek_tip FROM supplier""")
+def q_metadata(spark, sf_dir):
+    """MD-01..05 on covers generated from suppliers."""
+    k = F.col("s_suppkey")
+    cover = F.concat_ws("\n", F.when(k % 2 == 0, "ÇED RAPORU").otherwise("PROJE TANITIM DOSYASI"), F.concat(F.lit("Proje Sahibi : FIRMA "), k.cast("string"), F.lit(" A.Ş.")), F.concat(F.lit("Ruhsat No: "), (20000 + k).cast("string")), F.lit("Maden Cinsi: krom ve bakır, krom"))
+    out = metadata.extract(table(spark, sf_dir, "supplier").select(k.alias("doc_id"), cover.alias("text"), F.lit("x/Adana/EK-1/a.pdf").alias("path")))
+    return out.select("doc_id", "company", "license_no", "mine_type", "ek_tip")
+
+
+@query("SELECT s_suppkey, s_nationkey || '/Ek-' || (1 + s_suppkey % 2) || '/' || (20000 + s_suppkey) || ' - ' || trim(regexp_replace(replace(s_name, '#', ':'), '[<>:\"/\\\\|?*]', '_', 'g'), ' ._') || ' - KROM.kml' AS path FROM supplier")
+def q_export_path(spark, sf_dir):
+    """MD-07, MD-08, FN-21."""
+    k = F.col("s_suppkey")
+    path = metadata.export_path(F.col("s_nationkey").cast("string"), F.concat(F.lit("EK-"), (1 + k % 2).cast("string")), (20000 + k).cast("string"), F.replace("s_name", F.lit("#"), F.lit(":")), F.lit("KROM"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", path.alias("path"))
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of two tables for each supplier; every fifth declares a wrong second area."""
+    k = F.col("s_suppkey").cast("int")
+    head = F.lit("Datum : ED-50\nTürü : UTM\nZon : 36\n")
+
+    def square(name: str, east: int):
+        y, x = east + k % 1000 * 10, 4301200 + k % 500 * 10
+        rows = [F.format_string(f"{name}{i} %d.00 %d.00", y + dy, x + dx) for i, (dy, dx) in enumerate(((0, 0), (200, 0), (200, 200), (0, 200)), 1)]
+        return F.concat_ws("\n", *rows)
+
+    declared = F.when(k % 5 == 0, "0,40").otherwise("4,00")
+    body = F.concat(F.lit("Tablo 2. Ruhsat Alanı Koordinatları (4,00 ha)\n"), head, square("R", 512300), F.lit("\nTablo 3. ÇED Alanı Koordinatları ("), declared, F.lit(" ha)\n"), head, square("C", 514800))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), F.lit("text_layer").alias("source_method"), body.alias("text"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(2 AS BIGINT) AS tables, CAST(8 AS BIGINT) AS points, CAST(2 AS BIGINT) AS rings, CASE WHEN s_suppkey % 5 = 0 THEN 'AREA_MISMATCH' ELSE 'BASARILI' END AS status FROM supplier""")
+def q_pipeline_status(spark, sf_dir):
+    """ORC-01, ORC-05, SEG, PAR, AGG-02, QA: generated reports from page text to status."""
+    return pipeline.status(pipeline.run(report_pages(spark, sf_dir)))
+
+
+@query("""SELECT s_suppkey % 5 = 0 AS blocked, count(*) AS documents, CAST(sum(CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS placemarks, CAST(0 AS BIGINT) AS crossings FROM supplier GROUP BY ALL""")
+def q_export(spark, sf_dir):
+    """SNK-01..06: only passing documents reach the KML text, and it reads back without crossings."""
+    project = pipeline.run(report_pages(spark, sf_dir))
+    marks = kml.placemarks(gate.exportable(project.rings, project.gate))
+    read = kml.scanned(marks).agg(F.sum("crossings").alias("c"))
+    per = project.gate.join(marks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").groupBy((~F.col("ok")).alias("blocked")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("placemarks"))
+    return per.crossJoin(F.broadcast(read)).select("blocked", "documents", "placemarks", F.col("c").cast("long").alias("crossings"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'CRS_UNRESOLVED_NO_TRANSFORM' AS code, CAST(4 AS BIGINT) AS point_count FROM supplier""")
+def q_diagnostics(spark, sf_dir):
+    """QA-07: reports whose table names no zone anywhere."""
+    pages = report_pages(spark, sf_dir).withColumn("text", F.regexp_extract(F.regexp_replace("text", "Zon : 36\n", ""), r"(?s)^(.*?)\nTablo 3", 1))
+    return pipeline.run(pages).diagnostics.select("doc_id", "code", "point_count")
+
+
+@query("SELECT s_nationkey AS province, CASE WHEN s_suppkey % 3 = 0 THEN 'HATA' ELSE 'BASARILI' END AS status, count(*) AS n FROM supplier GROUP BY ALL")
+def q_report(spark, sf_dir):
+    """SNK-09."""
+    return kml.report(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("province"), F.when(F.col("s_suppkey") % 3 == 0, "HATA").otherwise("BASARILI").alias("status")))
+
+
+@query("""SELECT lower(substr(p_name, 1, 6)) AS title, count(*) AS count FROM part GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 30""")
+def q_vocabulary(spark, sf_dir):
+    """AGG-16: a top-k report."""
+    return index.vocabulary(table(spark, sf_dir, "part").select(F.lower(F.substring("p_name", 1, 6)).alias("title")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
