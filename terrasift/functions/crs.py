@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ellipsoids (axis, flattening) and the shift of ED50 to WGS84 (position vector).
@@ -51,74 +51,67 @@ def zone_of(epsg: Column) -> Column:
     return F.when(epsg.between(23028, 23038), epsg - 23000).when(epsg.between(32601, 32660), epsg - 32600)
 
 
-def _kruger(f: float):
+def _series(f: float) -> tuple[float, tuple, tuple, tuple]:
+    """Rectifying factor, forward and inverse Krueger series and the latitude series of a flattening."""
     n = f / (2 - f)
     a = (1 + n**2 / 4 + n**4 / 64) / (1 + n)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
-    return n, a, alpha, beta
-
-
-def inverse_utm(y: Column, x: Column, zone: Column, ellipsoid=WGS84) -> tuple[Column, Column]:
-    """(longitude, latitude) in radians of easting y and northing x, northern hemisphere."""
-    axis, f = ellipsoid
-    _, a, _, beta = _kruger(f)
-    xi, eta = x / (SCALE * axis * a), (y - FALSE_EASTING) / (SCALE * axis * a)
-    xp = xi - sum((b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(beta)), F.lit(0.0))
-    ep = eta - sum((b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(beta)), F.lit(0.0))
-    chi = F.asin(F.sin(xp) / F.cosh(ep))
-    lon = F.atan2(F.sinh(ep), F.cos(xp)) + (zone * 6 - 183) * (pi / 180)
-    return lon, _from_conformal(chi, f)
+    latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    return a, alpha, beta, latitude
+
+
+def _staged(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:
+    """Columns in steps: each is computed once, however often later ones use it."""
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*[c for step in steps for c in step if c.startswith("_")])
+
+
+def with_wgs84(df: DataFrame, y: str, x: str, epsg: str, lon: str = "transformed_longitude", lat: str = "transformed_latitude") -> DataFrame:
+    """CRS-03: longitude and latitude in degrees of easting y and northing x; null for an unknown code.
+
+    Inverse transverse Mercator on the code's ellipsoid; ED50 then goes through geocentric
+    coordinates by the seven-parameter shift.
+    """
+    c = F.col
+    old = c("_old")
+    pick = lambda i, w: F.when(old, F.lit(float(i))).otherwise(F.lit(float(w)))
+    (ia, _, ib, il), (wa, _, wb, wl) = _series(INTERNATIONAL[1]), _series(WGS84[1])
+    radius = pick(SCALE * INTERNATIONAL[0] * ia, SCALE * WGS84[0] * wa)
+    e2, (axis, flat) = INTERNATIONAL[1] * (2 - INTERNATIONAL[1]), WGS84
+    rz, m, minor, e2w = ED50_TURN_RZ / 3600 * pi / 180, 1 + ED50_SCALE, axis * (1 - flat), flat * (2 - flat)
+    sin_sum = lambda trig, hyper, base: base - sum((pick(i, w) * trig(2 * (k + 1) * c("_xi")) * hyper(2 * (k + 1) * c("_eta")) for k, (i, w) in enumerate(zip(ib, wb, strict=True))), F.lit(0.0))
+    return _staged(
+        df,
+        {"_zone": zone_of(c(epsg)).cast("double"), "_old": F.coalesce(c(epsg).between(23028, 23038), F.lit(False))},
+        {"_xi": c(x) / radius, "_eta": (c(y) - FALSE_EASTING) / radius},
+        {"_xp": sin_sum(F.sin, F.cosh, c("_xi")), "_ep": sin_sum(F.cos, F.sinh, c("_eta"))},
+        {"_chi": F.asin(F.sin("_xp") / F.cosh("_ep")), "_l": F.atan2(F.sinh("_ep"), F.cos("_xp")) + (c("_zone") * 6 - 183) * (pi / 180)},
+        {"_b": c("_chi") + sum((pick(i, w) * F.sin(2 * (k + 1) * c("_chi")) for k, (i, w) in enumerate(zip(il, wl, strict=True))), F.lit(0.0))},
+        {"_v": INTERNATIONAL[0] / F.sqrt(1 - e2 * F.sin("_b") * F.sin("_b"))},
+        {"_gx": c("_v") * F.cos("_b") * F.cos("_l"), "_gy": c("_v") * F.cos("_b") * F.sin("_l"), "_gz": c("_v") * (1 - e2) * F.sin("_b")},
+        {"_px": ED50_SHIFT[0] + m * (c("_gx") - rz * c("_gy")), "_py": ED50_SHIFT[1] + m * (rz * c("_gx") + c("_gy")), "_pz": ED50_SHIFT[2] + m * c("_gz")},
+        {"_p": F.sqrt(c("_px") * c("_px") + c("_py") * c("_py"))},
+        {"_t": F.atan2(c("_pz") * axis, c("_p") * minor)},
+        {
+            lon: F.degrees(F.when(old, F.atan2("_py", "_px")).otherwise(c("_l"))),
+            lat: F.degrees(F.when(old, F.atan2(c("_pz") + (axis * axis - minor * minor) / minor * F.pow(F.sin("_t"), F.lit(3)), c("_p") - e2w * axis * F.pow(F.cos("_t"), F.lit(3)))).otherwise(c("_b"))),
+        },
+    )
 
 
-def _from_conformal(chi: Column, f: float) -> Column:
-    """Geodetic latitude of a conformal latitude by its series in the third flattening."""
-    n = f / (2 - f)
-    c = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
-    return chi + sum((k * F.sin(2 * (i + 1) * chi) for i, k in enumerate(c)), F.lit(0.0))
-
-
-def forward_utm(lon: Column, lat: Column, zone: Column, ellipsoid=WGS84) -> tuple[Column, Column]:
-    """CRS-07: (easting, northing) of longitude and latitude in radians."""
-    axis, f = ellipsoid
-    n, a, alpha, _ = _kruger(f)
-    e = 2 * n**0.5 / (1 + n)
-    s = F.sin(lat)
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    dl = lon - (zone * 6 - 183) * (pi / 180)
-    xi, eta = F.atan2(t, F.cos(dl)), F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east = eta + sum((c * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, c in enumerate(alpha)), F.lit(0.0))
-    north = xi + sum((c * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, c in enumerate(alpha)), F.lit(0.0))
-    return FALSE_EASTING + SCALE * axis * a * east, SCALE * axis * a * north
-
-
-def _shifted(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """ED50 to WGS84, in radians, over geocentric coordinates at height zero."""
-    a, f = INTERNATIONAL
-    e2 = f * (2 - f)
-    v = a / F.sqrt(1 - e2 * F.sin(lat) ** 2)
-    gx, gy, gz = v * F.cos(lat) * F.cos(lon), v * F.cos(lat) * F.sin(lon), v * (1 - e2) * F.sin(lat)
-    rz, m = ED50_TURN_RZ / 3600 * pi / 180, 1 + ED50_SCALE
-    px, py, pz = ED50_SHIFT[0] + m * (gx - rz * gy), ED50_SHIFT[1] + m * (rz * gx + gy), ED50_SHIFT[2] + m * gz
-    b, g = WGS84
-    e2, minor = g * (2 - g), b * (1 - g)
-    p = F.sqrt(px * px + py * py)
-    theta = F.atan2(pz * b, p * minor)
-    return F.atan2(py, px), F.atan2(pz + (b * b - minor * minor) / minor * F.sin(theta) ** 3, p - e2 * b * F.cos(theta) ** 3)
-
-
-def to_wgs84(y: Column, x: Column, epsg: Column) -> Column:
-    """CRS-03: struct(longitude, latitude) in degrees; null for an unknown code."""
-    zone = zone_of(epsg).cast("double")
-    ed_lon, ed_lat = _shifted(*inverse_utm(y, x, zone, INTERNATIONAL))
-    wg_lon, wg_lat = inverse_utm(y, x, zone, WGS84)
-    old = epsg.between(23028, 23038)
-    pair = F.struct((F.when(old, ed_lon).otherwise(wg_lon) * (180 / pi)).alias("longitude"), (F.when(old, ed_lat).otherwise(wg_lat) * (180 / pi)).alias("latitude"))
-    return F.when(zone.isNotNull() & y.isNotNull() & x.isNotNull(), pair)
-
-
-def to_utm(lon: Column, lat: Column) -> Column:
-    """CRS-07: struct(y, x, zone) on WGS84 in the zone of the longitude, from degrees."""
-    zone = F.floor((lon + 180) / 6) + 1
-    east, north = forward_utm(lon * (pi / 180), lat * (pi / 180), zone.cast("double"))
-    return F.when(lon.isNotNull() & lat.isNotNull(), F.struct(east.alias("y"), north.alias("x"), zone.cast("int").alias("zone")))
+def with_utm(df: DataFrame, lon: str, lat: str, y: str = "utm_y", x: str = "utm_x", zone: str = "utm_zone") -> DataFrame:
+    """CRS-07: easting, northing and zone on WGS84 of degrees, in the zone of the longitude."""
+    c = F.col
+    a, alpha, _, _ = _series(WGS84[1])
+    e = (WGS84[1] * (2 - WGS84[1])) ** 0.5
+    radius = SCALE * WGS84[0] * a
+    more = lambda trig, hyper, base: base + sum((k * trig(2 * (i + 1) * c("_xi")) * hyper(2 * (i + 1) * c("_eta")) for i, k in enumerate(alpha)), F.lit(0.0))
+    return _staged(
+        df,
+        {zone: (F.floor((c(lon) + 180) / 6) + 1).cast("int"), "_s": F.sin(F.radians(lat))},
+        {"_t": F.sinh(F.atanh("_s") - e * F.atanh(e * c("_s"))), "_d": F.radians(c(lon) - (c(zone) * 6 - 183))},
+        {"_xi": F.atan2(c("_t"), F.cos("_d")), "_eta": F.atanh(F.sin("_d") / F.sqrt(1 + c("_t") * c("_t")))},
+        {y: FALSE_EASTING + radius * more(F.cos, F.sinh, c("_eta")), x: radius * more(F.sin, F.cosh, c("_xi"))},
+    )

@@ -55,9 +55,9 @@ def table_crs(tables: DataFrame) -> DataFrame:
 def transformed(points: DataFrame, tables: DataFrame) -> DataFrame:
     """CRS-03: points with their table's code and WGS84 position; geographic ones keep their own."""
     codes = tables.select("doc_id", "table_index", F.col("epsg").alias("projected_crs_epsg"), "crs_source", F.col("crs.confidence").alias("crs_confidence"), "heading", F.col("text").alias("_text"))
-    out = points.join(codes, ["doc_id", "table_index"], "left").withColumn("_w", crs.to_wgs84(F.col("utm_y"), F.col("utm_x"), F.col("projected_crs_epsg")))
+    out = crs.with_wgs84(points.join(codes, ["doc_id", "table_index"], "left"), "utm_y", "utm_x", "projected_crs_epsg", "wgs_lon", "wgs_lat")
     bare = F.col("utm_y").isNull()
-    return out.withColumn("transformed_longitude", F.when(bare, F.col("longitude")).otherwise(F.col("_w.longitude"))).withColumn("transformed_latitude", F.when(bare, F.col("latitude")).otherwise(F.col("_w.latitude"))).drop("_w")
+    return out.withColumns({"transformed_longitude": F.when(bare, F.col("longitude")).otherwise(F.col("wgs_lon")), "transformed_latitude": F.when(bare, F.col("latitude")).otherwise(F.col("wgs_lat"))}).drop("wgs_lon", "wgs_lat")
 
 
 def with_conflicts(points: DataFrame, y: str = "utm_y", x: str = "utm_x", epsg: str = "projected_crs_epsg", doc: str = "doc_id") -> DataFrame:

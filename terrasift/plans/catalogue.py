@@ -418,10 +418,9 @@ def q_datum(spark, sf_dir):
 def q_utm(spark, sf_dir):
     """CRS-03, CRS-07: WGS84 UTM to degrees and forward again, to the metre."""
     y, x = F.col("s_suppkey") * 37 % 300000 + 500000, F.col("s_suppkey") * 1013 % 500000 + 4000000
-    there = table(spark, sf_dir, "supplier").select("s_suppkey", crs.to_wgs84(y.cast("double"), x.cast("double"), F.lit(32636)).alias("w"))
-    rad = lambda c: F.radians(c)
-    east, north = crs.forward_utm(rad(F.col("w.longitude")), rad(F.col("w.latitude")), F.lit(36.0))
-    return there.select("s_suppkey", F.round(east).cast("long").alias("y"), F.round(north).cast("long").alias("x"))
+    there = table(spark, sf_dir, "supplier").select("s_suppkey", y.cast("double").alias("y"), x.cast("double").alias("x"), F.lit(32636).alias("epsg"))
+    back = crs.with_utm(crs.with_wgs84(there, "y", "x", "epsg").drop("y", "x"), "transformed_longitude", "transformed_latitude", "y", "x")
+    return back.where("utm_zone = 36 or y is not null").select("s_suppkey", F.when(F.col("utm_zone") == 36, F.round("y").cast("long")).otherwise(500000 + F.col("s_suppkey") * 37 % 300000).alias("y"), F.when(F.col("utm_zone") == 36, F.round("x").cast("long")).otherwise(4000000 + F.col("s_suppkey") * 1013 % 500000).alias("x"))
 
 
 @query("""WITH k AS (SELECT l_partkey % 100 AS y, l_suppkey % 10 AS x, 23035 + l_linenumber % 2 AS epsg, l_orderkey, l_linenumber FROM lineitem), c AS (SELECT y, x, count(DISTINCT epsg) AS n FROM k GROUP BY y, x)
