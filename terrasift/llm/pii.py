@@ -51,14 +51,18 @@ _NUMBER = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_NUMBER}|[0-9]+|plus)[ \-.,]{{1,2}}){{2,}}(?:{_NUMBER}|[0-9]+)(?!\w)", re.I)
 _GAP = re.compile(r"(?<=[0-9+])[\x20.,-]+(?=[0-9])")
 _ONE_NUMBER = re.compile(rf"(?<!\w)(?:{_NUMBER}|plus)(?!\w)", re.I)
-_AT = r"\s*(?:[\[({<]\s*(?:at|arroba|chez)\s*[\])}>]|[\[({<]\s*@\s*[\])}>])\s*|\s+(?:at|AT)\s+|\s+@\s+|@"
-_DOT = r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s*[\[({<]\s*\.\s*[\])}>]\s*|\s+(?:dot|DOT)\s+|\."
-#: A disguised address: a local part, an at, and labels joined by dots, one of them disguised.
-_DISGUISED = re.compile(rf"[A-Za-z0-9._%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*?(?:{_AT})[A-Za-z0-9-]+(?:(?:{_DOT})[A-Za-z0-9-]+)+", re.I)
+# Blanks are counted and labels possessive, so that no text makes a pattern walk it twice.
+_AT = r"\s{0,3}[\[({<]\s{0,3}(?:at|arroba|chez|@)\s{0,3}[\])}>]\s{0,3}|\s{1,3}at\s{1,3}|\s{0,3}@\s{0,3}"
+_DOT = r"\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}dot\s{1,3}|\."
+_AN_AT = re.compile(_AT, re.I)
+#: The local part up to its at, read in the REACH characters before it; and the labels after it.
+_BEFORE = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,6}}$", re.I)
+_AFTER = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_DOT})[A-Za-z0-9-]++){{1,8}}", re.I)
+REACH = 160
 _AT_OR_DOT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
-_DISGUISED_IP = re.compile(r"(?<!\w)[0-9]{1,3}(?:\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*[0-9]{1,3}|\s+dot\s+[0-9]{1,3}|\.[0-9]{1,3}){3}(?!\w)", re.I)
+_DISGUISED_IP = re.compile(r"(?<!\w)[0-9]{1,3}(?:\s{0,3}[\[({]\s{0,3}(?:dot|\.)\s{0,3}[\])}]\s{0,3}[0-9]{1,3}|\s{1,3}dot\s{1,3}[0-9]{1,3}|\.[0-9]{1,3}){3}(?!\w)", re.I)
 _IP_ONLY = re.compile(r"[0-9\s.()\[\]{}dotDOT]+")
-_DISGUISE_TRIGGER = re.compile(r"[\[({<]\s*(?:at|dot|arroba|chez|punkt|point|punto|@|\.)\s*[\])}>]|\sdot\s", re.I)
+_DISGUISE_TRIGGER = re.compile(r"[\[({<]\s{0,3}(?:at|dot|arroba|chez|punkt|point|punto|@|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
 _FOREIGN = re.compile(r"[²³¹Ͱ-֏٠-٩۰-۹०-९​-‍‐-―․⁠-₉①-⓿﹐-﻿＀-･\U0001d400-\U0001d7ff]")
 
 
@@ -156,19 +160,30 @@ def deobfuscated(text: str) -> Mapped | None:
         # digits that were words lose the blanks between them: one number, not many
         out.rewrite([(m.start(), m.end(), "") for m in _GAP.finditer(out.text) if _from_words(out, m)])
     edits = []
-    for m in sorted([*_DISGUISED.finditer(out.text), *_DISGUISED_IP.finditer(out.text)], key=lambda m: m.start()):
-        if edits and m.start() < edits[-1][1]:
+    for a, b in sorted([*_disguised_emails(out.text), *(m.span() for m in _DISGUISED_IP.finditer(out.text))]):
+        if edits and a < edits[-1][1]:
             continue
-        kinds = list(_AT_OR_DOT.finditer(m[0]))
+        whole = out.text[a:b]
+        kinds = list(_AT_OR_DOT.finditer(whole))
         spaced = [k for k in kinds if k[0] not in "@."]
         # prose has " at " and " dot " too: the bare words count only before a top-level domain
         bare = any(k[0].strip().lower() in ("at", "dot") for k in spaced)
-        if spaced and (not bare or _IP_ONLY.fullmatch(m[0]) or _AT_OR_DOT.split(m[0])[-1].lower() in TOP_LEVEL):
-            edits += [(m.start() + k.start(), m.start() + k.end(), "@" if k["at"] else ".") for k in spaced]
+        if spaced and (not bare or _IP_ONLY.fullmatch(whole) or re.split(_DOT, whole, flags=re.I)[-1].lower() in TOP_LEVEL):
+            edits += [(a + k.start(), a + k.end(), "@" if k["at"] else ".") for k in spaced]
     out.rewrite(edits)
     return out if out.text != text else None
 
 
+def _disguised_emails(text: str):
+    """Spans of a local part, an at and labels joined by dots, however these are written."""
+    for at in _AN_AT.finditer(text):
+        low = max(0, at.start() - REACH)
+        before = _BEFORE.search(text[low : at.start()])
+        after = _AFTER.match(text, at.end()) if before else None
+        if after:
+            yield low + before.start(), after.end()
+
+
 def _from_words(out: Mapped, m: re.Match) -> bool:
     """Whether a neighbour of the separator was spelled: its source is longer than itself."""
     return any(out.ends[i] - out.starts[i] > 1 for i in (m.start() - 1, m.end()))

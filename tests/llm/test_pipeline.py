@@ -1,0 +1,48 @@
+"""Each stage of the pipeline on its own input, with clashing columns and odd rows."""
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+@pytest.fixture
+def sf_dir(spark, tmp_path):
+    good = ["the house by the river was green and quiet in the early morning light of may", "many people walk along the market street with baskets full of bread and fruit", "she wrote a long letter to her brother about the garden and the old stone wall"]
+    docs, labels = [], []
+    for i in range(120):
+        text = f"{good[i % 3]} number {i} " + " ".join(f"w{i}x{j}" for j in range(40)) if i % 4 else "BUY!! NOW!! $$$ " * 20 + str(i)
+        docs.append((i, text, "en", f"s{i % 3}", len(text)))
+        labels.append((i, int(i % 4 > 0), 0))
+    docs += [(500, docs[1][1], "en", "s0", 1), (501, docs[2][1] + " mail a.b@c.de", "en", "s1", 1)]
+    docs += [(502, " ".join(f"b{j}" for j in range(30)) + " " + docs[5][1], "en", None, 1), (503, None, None, None, None), (504, "", "en", "s0", 0)]
+    bench = [(1, " ".join(f"b{j}" for j in range(30)))]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_take_effect(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, kept = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        rows = {r["doc_id"]: r for r in docs.collect()}
+        kept.append(rows)
+        if k < 4:
+            assert docs.columns == columns, name
+    quality, near, clean, private, mixed = kept
+    assert not {i for i in quality if i is not None and i < 120 and i % 4 == 0} and {1, 2, 500, 502} <= set(quality)
+    assert 500 not in near and 1 in near and 502 in near
+    assert 502 not in clean and set(near) - set(clean) == {502}
+    assert all("a.b@c.de" not in (r["text"] or "") for r in private.values()) and set(private) == set(clean)
+    assert set(mixed) <= set(private) and all(r["taken"] > 0 for r in mixed.values())
+
+
+def test_run_equals_the_stages(spark, sf_dir):
+    got = corpus_pipeline.run(spark, sf_dir)
+    again = corpus_pipeline.run(spark, sf_dir)
+    pick = lambda df: sorted((r["doc_id"], r["taken"]) for r in df.collect())
+    assert pick(got) == pick(again) and len(pick(got)) > 0
