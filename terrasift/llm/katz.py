@@ -34,22 +34,46 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import as_bytes, hash_words, mix64, prepare, slices, stored, tokens
 
 K = 5
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 4_000_000
 #: Distinct words, and distinct pairs before they meet, of a part of a table.
 WORDS_PART, PAIRS_PART = 1_000_000, 1_500_000
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"", b"\n"))
 
 
 def pack(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+    """A length, the size of the compressed bytes, and these."""
+    data = pa.compress(np.ascontiguousarray(x), codec="zstd", asbytes=True)
+    return len(x).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    raw = pa.decompress(data[8:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
+    raw = pa.decompress(data[16:], decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
     return np.frombuffer(raw, kind)
 
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, low and high halves apart (the high ones compress)."""
+    gaps = np.diff(x, prepend=np.uint64(0))
+    return pack((gaps & np.uint64(0xFFFFFFFF)).astype(np.uint32)) + pack((gaps >> np.uint64(32)).astype(np.uint32))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[8:16], "little")
+    low, high = unpack(data[: 16 + size], np.uint32), unpack(data[16 + size :], np.uint32)
+    return np.cumsum(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+
+
+def pack_planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four planes of bytes: the higher planes compress."""
+    return pack(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel())
+
+
+def unpack_planes(data: bytes) -> np.ndarray:
+    planes = unpack(data, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def part_starts(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each hash range begins in sorted hashes; the last entry is their number."""
     edges = np.array([((1 << 64) * p) // parts for p in range(1, parts)], np.uint64)
@@ -59,7 +83,7 @@ def part_starts(hashes: np.ndarray, parts: int) -> np.ndarray:
 def encoded(docs: DataFrame, train: Column) -> DataFrame:
     """One row a batch: ids, training flags, token counts, vocabulary, training counts, tokens."""
     kind = docs.schema["doc_id"].dataType
-    schema = docs.select(F.lit(0).cast("long").alias("batch"), F.array(F.col("doc_id")).alias("ids"), *[F.lit(b"").alias(c) for c in ("train", "counts", "vocab", "seen", "local")]).schema
+    schema = docs.select(F.lit(0).cast("long").alias("batch"), F.array(F.col("doc_id")).alias("ids"), F.lit(0).cast("long").alias("tokens"), *[F.lit(b"").alias(c) for c in ("train", "counts", "vocab", "seen", "local")]).schema
     narrow = docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), as_bytes(F.col("text")).alias("text"))
 
     def emit(number: int, ids: list, flags: list[np.ndarray], counts: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
@@ -67,7 +91,7 @@ def encoded(docs: DataFrame, train: Column) -> DataFrame:
         vocab, local = np.unique(np.append(word, START), return_inverse=True)
         local = local[:-1].astype(np.uint32)
         seen = np.bincount(local[np.repeat(flag, count)], minlength=len(vocab)).astype(np.uint32)
-        columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(ids_type[0])), *(pa.array([x], pa.binary()) for x in (pack(flag.astype(np.uint8)), pack(count.astype(np.uint32)), vocab.tobytes(), pack(seen), pack(local)))]
+        columns = [pa.array([number], pa.int64()), pa.array([ids], pa.list_(ids_type[0])), pa.array([len(word)], pa.int64()), *(pa.array([x], pa.binary()) for x in (pack(flag.astype(np.uint8)), pack(count.astype(np.uint32)), pack_sorted(vocab), pack(seen), pack_planes(local)))]
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     ids_type = [pa.int64()]
@@ -138,10 +162,10 @@ def ask_words(batches: DataFrame, parts: int) -> DataFrame:
     def run(arrow):
         for batch in arrow:
             for row in batch.to_pylist():
-                vocab, seen = np.frombuffer(row["vocab"], np.uint64), unpack(row["seen"], np.uint32)
+                vocab, seen = unpack_sorted(row["vocab"]), unpack(row["seen"], np.uint32)
                 at = part_starts(vocab, parts)
                 cut = [(p, at[p], at[p + 1]) for p in range(parts) if at[p + 1] > at[p]]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cut], pa.int32()), pa.array([row["batch"]] * len(cut), pa.int64()), pa.array([vocab[a:b].tobytes() for _, a, b in cut], pa.binary()), pa.array([pack(seen[a:b]) for _, a, b in cut], pa.binary())], names=["part", "batch", "words", "seen"])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in cut], pa.int32()), pa.array([row["batch"]] * len(cut), pa.int64()), pa.array([pack_sorted(vocab[a:b]) for _, a, b in cut], pa.binary()), pa.array([pack(seen[a:b]) for _, a, b in cut], pa.binary())], names=["part", "batch", "words", "seen"])
 
     return batches.select("batch", "vocab", "seen").mapInArrow(run, "part int, batch long, words binary, seen binary")
 
@@ -151,15 +175,18 @@ def answer_words(requests: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
-        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        words = [unpack_sorted(r["words"]) for r in rows]
         _, where = np.unique(np.concatenate(words), return_inverse=True)
         counts = np.bincount(where, np.concatenate([unpack(r["seen"], np.uint32) for r in rows])).astype(np.int64)
         ends = np.cumsum([len(w) for w in words])
         answers = [pack(counts[where[e - len(w) : e]]) for w, e in zip(words, ends, strict=True)]
+        rank = np.empty(len(counts), np.int64)  # a short name of each word: its place in the part by frequency
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        names = [pack_planes(rank[where[e - len(w) : e]]) for w, e in zip(words, ends, strict=True)]
         sums = [int((counts == r).sum()) for r in range(1, K + 2)] + [int(counts.sum()), int((counts > 0).sum())]
-        return pa.table({"batch": pa.array([*(r["batch"] for r in rows), -1], pa.int64()), "part": pa.array([rows[0]["part"]] * (len(rows) + 1), pa.int32()), "answer": pa.array([*answers, b""], pa.binary()), "sums": pa.array([None] * len(rows) + [sums], pa.list_(pa.int64()))})
+        return pa.table({"batch": pa.array([*(r["batch"] for r in rows), -1], pa.int64()), "part": pa.array([rows[0]["part"]] * (len(rows) + 1), pa.int32()), "answer": pa.array([*answers, b""], pa.binary()), "rank": pa.array([*names, b""], pa.binary()), "sums": pa.array([None] * len(rows) + [sums], pa.list_(pa.int64()))})
 
-    return requests.groupBy("part").applyInArrow(run, "batch long, part int, answer binary, sums array<long>")
+    return requests.groupBy("part").applyInArrow(run, "batch long, part int, answer binary, rank binary, sums array<long>")
 
 
 def pairs_of(local: np.ndarray, counts: np.ndarray, start: int, size: int):
@@ -176,16 +203,19 @@ def gathered(answers: list[dict], field: str, kind) -> np.ndarray:
 
 
 def ask_pairs(joined: DataFrame, parts: int) -> DataFrame:
-    schema = "part int, batch long, contexts binary, fanout binary, low binary, high binary, word_count binary, pair_count binary"
+    schema = "part int, batch long, contexts binary, fanout binary, word_part binary, word_rank binary, word_count binary, pair_count binary"
 
     def run(arrow):
         for batch in arrow:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                vocab, counts = np.frombuffer(row["vocab"], np.uint64), unpack(row["counts"], np.uint32).astype(np.int64)
+                vocab, counts = unpack_sorted(row["vocab"]), unpack(row["counts"], np.uint32).astype(np.int64)
                 word_counts = gathered(row["words"], "answer", np.int64)
+                parts_of = [a for a in sorted(row["words"], key=lambda a: a["part"])]
+                word_rank = np.concatenate([unpack_planes(a["rank"]) for a in parts_of])
+                word_part = np.repeat(np.array([a["part"] for a in parts_of], np.uint32), [len(unpack(a["answer"], np.int64)) for a in parts_of])
                 start = int(np.searchsorted(vocab, START))
-                keys, where = pairs_of(unpack(row["local"], np.uint32), counts, start, len(vocab))
+                keys, where = pairs_of(unpack_planes(row["local"]), counts, start, len(vocab))
                 train = np.repeat(unpack(row["train"], np.uint8).astype(bool), counts)
                 pair_counts = np.bincount(where[train], minlength=len(keys)).astype(np.uint32)
                 context, word = keys // len(vocab), keys % len(vocab)
@@ -199,25 +229,25 @@ def ask_pairs(joined: DataFrame, parts: int) -> DataFrame:
                     if a == b:
                         continue
                     x, y = edges[a], edges[b]
-                    h = vocab[word[x:y]]
-                    for column, value in zip(out, (p, row["batch"], vocab[owners[a:b]].tobytes(), pack(np.diff(edges[a : b + 1]).astype(np.uint32)), (h >> np.uint64(32)).astype(np.uint32).tobytes(), ((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), pack(np.minimum(word_counts[word[x:y]], 0xFFFFFFFF).astype(np.uint32)), pack(pair_counts[x:y])), strict=True):
+                    w = word[x:y]
+                    for column, value in zip(out, (p, row["batch"], pack_sorted(vocab[owners[a:b]]), pack(np.diff(edges[a : b + 1]).astype(np.uint32)), pack_planes(word_part[w]), pack_planes(word_rank[w]), pack(np.minimum(word_counts[word[x:y]], 0xFFFFFFFF).astype(np.uint32)), pack(pair_counts[x:y])), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["part", "batch", "contexts", "fanout", "low", "high", "word_count", "pair_count"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["part", "batch", "contexts", "fanout", "word_part", "word_rank", "word_count", "pair_count"])
 
     return joined.mapInArrow(run, schema)
 
 
 def answer_pairs(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
-    """For each batch: counts of its pairs; for its contexts the successors with counts 1 to K and
-    the unigram mass of all seen successors.  With batch -1 a part's counts of counts."""
+    """For each batch: counts of its pairs; for its contexts whether it has rare successors
+    and, where a pair of the batch backs off, their counts by count and the seen unigram mass.  With batch -1 a part's counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = rows_of(table)
-        contexts = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
+        contexts = [unpack_sorted(r["contexts"]) for r in rows]
         fanouts = [unpack(r["fanout"], np.uint32) for r in rows]
         names, where_context = np.unique(np.concatenate(contexts), return_inverse=True)
         context = np.repeat(where_context, np.concatenate(fanouts))
-        word = (np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows]).astype(np.uint64) << np.uint64(16)) | np.concatenate([np.frombuffer(r["high"], np.uint16) for r in rows])
+        word = (np.concatenate([unpack_planes(r["word_part"]) for r in rows]).astype(np.uint64) << np.uint64(32)) | np.concatenate([unpack_planes(r["word_rank"]) for r in rows])
         key = mix64(names[context] ^ mix64(word + np.uint64(1)))
         _, first, where = np.unique(key, return_index=True, return_inverse=True)
         counts = np.bincount(where, np.concatenate([unpack(r["pair_count"], np.uint32) for r in rows])).astype(np.int64)
@@ -225,20 +255,24 @@ def answer_pairs(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
         mass = np.where(counts > 0, unigrams(np.concatenate([unpack(r["word_count"], np.uint32) for r in rows])[first].astype(np.int64)), 0.0)
         mass = np.bincount(owner, mass, len(names))
         rare = [np.bincount(owner[counts == r], minlength=len(names)).astype(np.uint32) for r in range(1, K + 1)]
-        answers: list[list[bytes]] = [[], [], []]
+        some_rare = sum(rare) > 0
+        answers: list[list[bytes]] = [[], [], [], []]
         a = x = 0
         for c, f in zip(contexts, fanouts, strict=True):
             b, y = a + len(c), x + int(f.sum())
             own = where_context[a:b]
-            answers[0].append(pack(counts[where[x:y]].astype(np.uint32)))
-            answers[1].append(pack(np.stack([r[own] for r in rare], axis=1).ravel()))
-            answers[2].append(pack(mass[own]))
+            found = counts[where[x:y]]
+            backs_off = np.bincount(np.repeat(np.arange(b - a), f), found == 0, b - a) > 0  # only these need weights
+            answers[0].append(pack(found.astype(np.uint32)))
+            answers[1].append(pack((some_rare[own] + 2 * backs_off).astype(np.uint8)))
+            answers[2].append(pack(np.stack([r[own[backs_off]] for r in rare], axis=1).ravel()))
+            answers[3].append(pack(mass[own[backs_off]]))
             a, x = b, y
         sums = [int((counts == r).sum()) for r in range(1, K + 2)]
         n = len(rows)
-        return pa.table({"batch": pa.array([*(r["batch"] for r in rows), -1], pa.int64()), "part": pa.array([rows[0]["part"]] * (n + 1), pa.int32()), **{k: pa.array([*v, b""], pa.binary()) for k, v in zip(("counts", "rare", "mass"), answers, strict=True)}, "sums": pa.array([None] * n + [sums], pa.list_(pa.int64()))})
+        return pa.table({"batch": pa.array([*(r["batch"] for r in rows), -1], pa.int64()), "part": pa.array([rows[0]["part"]] * (n + 1), pa.int32()), **{k: pa.array([*v, b""], pa.binary()) for k, v in zip(("counts", "state", "rare", "mass"), answers, strict=True)}, "sums": pa.array([None] * n + [sums], pa.list_(pa.int64()))})
 
-    return requests.groupBy("part").applyInArrow(run, "batch long, part int, counts binary, rare binary, mass binary, sums array<long>")
+    return requests.groupBy("part").applyInArrow(run, "batch long, part int, counts binary, state binary, rare binary, mass binary, sums array<long>")
 
 
 def totals(answers: DataFrame, n: int) -> list[int]:
@@ -246,15 +280,16 @@ def totals(answers: DataFrame, n: int) -> list[int]:
     return [int(x) for x in row]
 
 
-def token_scores(pair_count, rare, mass, context_total, word_count, unigrams: Unigrams, factor: np.ndarray) -> np.ndarray:
+def token_scores(pair_count, no_rare, rare, mass, context_total, word_count, unigrams: Unigrams, factor: np.ndarray) -> np.ndarray:
     """log10 probabilities of distinct pairs: the recursion of one token.
 
-    ``rare`` has a row of successors with counts 1 to K, ``mass`` the unigram mass of the
-    seen successors and ``context_total`` the occurrences of each pair's context.
+    ``no_rare`` tells contexts whose successors are all frequent; ``rare`` has a row of
+    successors with counts 1 to K and ``mass`` the unigram mass of the seen successors, both
+    where the context backs off; ``context_total`` are the context's occurrences.
     """
     total = np.maximum(context_total, 1)
     left = (rare * (np.arange(1, K + 1) * (1 - factor[1:]))).sum(1) / total
-    frequent = (left <= 0) & (context_total > 0)
+    frequent = no_rare & (context_total > 0)
     seen = np.where(pair_count <= K, factor[np.minimum(pair_count, K)], 1.0) * pair_count / total
     seen = np.where(frequent, seen * context_total / (context_total + 1), seen)
     left = np.where(frequent, 1 / (context_total + 1), left)
@@ -268,9 +303,9 @@ def scores(joined: DataFrame, unigrams: Unigrams, distinct: int, documents: int,
             kind = batch.schema.field("ids").type.value_type
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                vocab, counts = np.frombuffer(row["vocab"], np.uint64), unpack(row["counts"], np.uint32).astype(np.int64)
+                vocab, counts = unpack_sorted(row["vocab"]), unpack(row["counts"], np.uint32).astype(np.int64)
                 word_counts = gathered(row["words"], "answer", np.int64)
-                local = unpack(row["local"], np.uint32).astype(np.int64)
+                local = unpack_planes(row["local"]).astype(np.int64)
                 start = int(np.searchsorted(vocab, START))
                 keys, where = pairs_of(local, counts, start, len(vocab))
                 context, word = keys // len(vocab), keys % len(vocab)
@@ -278,8 +313,11 @@ def scores(joined: DataFrame, unigrams: Unigrams, distinct: int, documents: int,
                 total = word_counts[contexts]
                 total[contexts == start] = documents
                 pair_count = gathered(row["pairs"], "counts", np.uint32).astype(np.int64)
-                rare = gathered(row["pairs"], "rare", np.uint32).reshape(-1, K)
-                logs = token_scores(pair_count, rare[of], gathered(row["pairs"], "mass", np.float64)[of], total[of], word_counts[word], unigrams, factor)
+                state = gathered(row["pairs"], "state", np.uint8)
+                rare, mass = np.zeros((len(contexts), K)), np.zeros(len(contexts))
+                rare[state >= 2] = gathered(row["pairs"], "rare", np.uint32).reshape(-1, K)
+                mass[state >= 2] = gathered(row["pairs"], "mass", np.float64)
+                logs = token_scores(pair_count, (state & 1)[of] == 0, rare[of], mass[of], total[of], word_counts[word], unigrams, factor)
                 at = np.cumsum(counts) - counts
                 known = word_counts[local]
                 base = np.log10((known + 0.5) / (unigrams.total + 0.5 * (distinct + 1)))
@@ -303,19 +341,20 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     prepare(spark)
     schema = docs.select("doc_id", F.lit(True).alias("held_out"), *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "n_known", "train_tokens")], F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score")).schema
     batches = encoded(docs, train)
-    batches = bucketed(batches, max(1, docs.rdd.getNumPartitions()))
-    size = batches.agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0)), F.coalesce(F.count("*"), F.lit(0))).first()
-    word_parts = max(1, ceil(size[0] / 8 / WORDS_PART))
-    pair_parts = max(1, ceil(size[1] * BATCH_TOKENS / PAIRS_PART))
+    batches = bucketed(batches, max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = batches.agg(F.coalesce(F.sum(F.length("vocab")), F.lit(0)), F.coalesce(F.count("*"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    word_parts = max(1, ceil(size[0] / 6 / WORDS_PART))
+    pair_parts = max(1, ceil(size[2] / PAIRS_PART))
     words = stored(answer_words(ask_words(batches, word_parts)))
     *n, total, distinct = totals(words, K + 3)
     unigrams = Unigrams(total, n)
     documents = batches_documents(batches)
     by_batch = answers_by_batch(words, "words", "answer")
-    requests = ask_pairs(batches.select("batch", "train", "counts", "vocab", "local").join(by_batch, "batch"), pair_parts)
+    named = answers_by_batch(words, "words", "answer", "rank")
+    requests = ask_pairs(batches.select("batch", "train", "counts", "vocab", "local").join(named, "batch"), pair_parts)
     pairs = stored(answer_pairs(requests, unigrams))
     factor = discounts(totals(pairs, K + 1))
-    whole = batches.join(by_batch, "batch").join(answers_by_batch(pairs, "pairs", "counts", "rare", "mass"), "batch")
+    whole = batches.join(by_batch, "batch").join(answers_by_batch(pairs, "pairs", "counts", "state", "rare", "mass"), "batch")
     return scores(whole, unigrams, distinct, documents, factor, schema)
 
 

@@ -51,7 +51,8 @@ def plain(rows):
 def test_scores(spark, monkeypatch, parts):
     if parts > 1:  # many batches and parts
         monkeypatch.setattr(katz, "WORDS_PART", 3)
-        monkeypatch.setattr(katz, "PAIRS_PART", 500_000)
+        monkeypatch.setattr(katz, "PAIRS_PART", 20)
+        monkeypatch.setattr(katz, "BATCH_TOKENS", 40)
     rows = [(i, t, i % 3 != 1) for i, t in enumerate(TEXTS * 2)]
     docs = spark.createDataFrame([(i, t, k, "x") for i, t, k in rows], "doc_id long, text string, k boolean, batch string").repartition(3)
     from pyspark.sql import functions as F
