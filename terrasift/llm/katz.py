@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import as_bytes, hash_words, mix64, prepare, slices, stored, tokens
 
 K = 5
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 2_000_000
 #: Distinct words, and distinct pairs before they meet, of a part of a table.
 WORDS_PART, PAIRS_PART = 1_000_000, 1_500_000
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, 42)) for x in (b"", b"\n"))
