@@ -79,32 +79,47 @@ class Items:
             for k in range(0, len(members), 64):  # a table entry has a bit for each of 64 items
                 part = np.array(members[k : k + 64])
                 blocks = prints[part].view(np.uint8).reshape(-1, 8)
-                bits = np.uint64(1) << np.arange(len(part), dtype=np.uint64)
-                tables = np.stack([np.bitwise_or.reduce(np.where(near[:, blocks[:, b]], bits, np.uint64(0)), axis=1) for b in range(8)])
+                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= 8 * np.dtype(t).itemsize)
+                bits = (np.uint64(1) << np.arange(len(part), dtype=np.uint64)).astype(kind)
+                single = [np.bitwise_or.reduce(np.where(near[:, blocks[:, b]], bits, kind(0)), axis=1) for b in range(8)]
+                # two neighbouring blocks are looked up at once: half the reads, the same answer
+                tables = [np.bitwise_or.outer(single[b + 1], single[b]).ravel() for b in range(0, 8, 2)]
                 self.classes.append((length, part, prints[part], tables))
 
     def candidates(self, prints: np.ndarray, part: np.ndarray, own: np.ndarray, tables: np.ndarray):
         """(window number, item number) within the radius, found by the block tables."""
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        mask = tables[0][blocks[:, 0]]
-        for b in range(1, 8):
-            mask |= tables[b][blocks[:, b]]
+        pairs = prints.view(np.uint16).reshape(-1, 4)
+        mask = tables[0][pairs[:, 0]]
+        for b in range(1, 4):
+            mask |= tables[b][pairs[:, b]]
         some = np.flatnonzero(mask)
         mask, prints = mask[some], prints[some]
-        for j in range(len(part)):
-            for w in np.flatnonzero(np.bitwise_count(prints ^ own[j]) <= RADIUS).tolist():
-                if int(mask[w]) >> j & 1:
-                    yield int(some[w]), int(part[j])
+        window, item = np.nonzero(np.bitwise_count(prints[:, None] ^ own[None, :]) <= RADIUS)
+        for w, j in zip(window.tolist(), item.tolist(), strict=True):
+            if int(mask[w]) >> j & 1:
+                yield int(some[w]), int(part[j])
 
 
 def prefix_bits(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Prefix sums of the hash bits; in bytes that wrap around where no window counts over 255."""
-    kind = np.uint8 if n <= 255 else np.uint32
-    out = np.zeros((len(hashes) + 1, 64), kind)
-    np.cumsum(bit_matrix(hashes), axis=0, dtype=kind, out=out[1:])
+    """Prefix sums of the hash bits.
+
+    Where no window counts over 255 the 64 counters are the bytes of eight longs, summed as
+    longs: carries between bytes cancel in the difference of two prefixes.
+    """
+    kind = np.uint64 if n <= 255 else np.uint32
+    bits = bit_matrix(hashes)
+    bits = bits.view(np.uint64) if n <= 255 else bits
+    out = np.zeros((len(hashes) + 1, bits.shape[1]), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
     return out
 
 
+def majorities(counts: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprints of windows of n shingles from the differences of their prefix sums."""
+    ones = counts.view(np.uint8) if counts.dtype == np.uint64 else counts
+    return np.packbits((ones > n // 2).ravel()).view(np.uint64)
+
+
 def matches(texts: list[bytes], items: Items, threshold: float):
     """(text number, item number, similarity, first word) of each item found in each text."""
     flat, counts = tokens(texts, PUNCTUATION)
@@ -157,7 +172,7 @@ def matches(texts: list[bytes], items: Items, threshold: float):
                 tails = last - length - first
                 tails = tails[(tails >= 0) & (tails < fits)]
                 ones, starts = np.concatenate([ones, total[tails + n] - total[tails]]), np.concatenate([starts, tails])
-            fps = np.packbits((ones > n // 2).ravel()).view(np.uint64)
+            fps = majorities(ones, n)
             met: dict[int, list[int]] = {}
             for w, i in items.candidates(fps, part, prints, tables):
                 met.setdefault(i, []).append(first + int(starts[w]))
