@@ -62,7 +62,9 @@ REACH = 160
 _AT_OR_DOT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _DISGUISED_IP = re.compile(r"(?<!\w)[0-9]{1,3}(?:\s{0,3}[\[({]\s{0,3}(?:dot|\.)\s{0,3}[\])}]\s{0,3}[0-9]{1,3}|\s{1,3}dot\s{1,3}[0-9]{1,3}|\.[0-9]{1,3}){3}(?!\w)", re.I)
 _IP_ONLY = re.compile(r"[0-9\s.()\[\]{}dotDOT]+")
-_DISGUISE_TRIGGER = re.compile(r"[\[({<]\s{0,3}(?:at|dot|arroba|chez|punkt|point|punto|@|\.)\s{0,3}[\])}>]|\sdot\s", re.I)
+#: Meets every alternative of _AT and _DOT but the plain signs: a bare at counts before labels, of which
+#: a dot in disguise would be met itself, and an @ with a blank on either side.
+_DISGUISE_TRIGGER = re.compile(r"[\[({<]\s{0,3}(?:at|dot|arroba|chez|punkt|point|punto|@|\.)\s{0,3}[\])}>]|\sdot\s|\sat\s{1,3}[A-Za-z0-9-]++\.[A-Za-z0-9-]|\s@|@\s", re.I)
 _FOREIGN = re.compile(r"[²³¹Ͱ-֏٠-٩۰-۹०-९​-‍‐-―․⁠-₉①-⓿﹐-﻿＀-･\U0001d400-\U0001d7ff]")
 
 
@@ -145,7 +147,7 @@ def deobfuscated(text: str) -> Mapped | None:
     """The text after all transducers; None when none of them changes it."""
     foreign = not text.isascii() and _FOREIGN.search(text)
     spelled = _SPELLED.search(text)
-    if not (foreign or spelled or _DISGUISE_TRIGGER.search(text) or " @ " in text):
+    if not (foreign or spelled or _DISGUISE_TRIGGER.search(text)):
         return None
     out = Mapped(text)
     if foreign:

@@ -79,3 +79,20 @@ def test_queries_and_mask(spark):
 def test_long_texts_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "+1" * 50_000, "a@" * 50_000, "1.2.3." * 30_000, "five " * 30_000, " at " * 30_000):
         pii.all_spans(text)
+
+
+PROSE = ["jane.roe at example.com", "jane @example.com", "jane@ example.com", "jane\n@\nexample.com", "a.b at  c.de", "x [at] y.org", "x AT y dot org", "look at this. Then go.", "a.b@c.de", "10.0.0.255", "five at four.x", " ", "word", "@", "."]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(PROSE), max_size=6).map(" ".join))
+def test_unrelated_text_changes_no_span(text):
+    """The trigger opens for all that the transducers find, so text that opens it adds nothing."""
+    opener = "(dot) ; "
+    moved = [{k: [(a - len(opener), b - len(opener)) for a, b in v] for k, v in found.items()} for found in pii.all_spans(opener + text)]
+    assert moved == list(pii.all_spans(text))
+
+
+def test_bare_disguises_open_the_trigger():
+    for text, span in [("write to jane.roe at example.com now", (9, 32)), ("jane @example.com", (0, 17)), ("jane@ example.com", (0, 17)), ("jane\n@\nexample.com", (0, 18))]:
+        assert pii.all_spans(text)[1]["email"] == [span]
