@@ -2,7 +2,8 @@
 
 Words are lower-cased (A-Z) after deletion of punctuation; shingles have five words (an
 item of fewer words is one shingle).  Every document is read in windows as long as each
-benchmark item, a window starting every sixth of the item's shingles.  Prefix sums of
+benchmark item, a window starting every sixth of the item's shingles and at the document's
+first and last possible word.  Prefix sums of
 the shingle bits give a window's fingerprint.  Multi-index blocks: the 64 bits form
 eight blocks, and a fingerprint within ``RADIUS`` of an item's differs in one block by
 RADIUS // 8 bits at most, so eight tables of 256 entries return every such item.  Each
@@ -126,6 +127,7 @@ def matches(texts: list[bytes], items: Items, threshold: float):
     words = hash_words(flat)
     owner = np.repeat(np.arange(len(texts)), counts)
     ends = np.cumsum(counts)
+    first_words = ends - counts
     best: dict[tuple[int, int], tuple[float, int]] = {}
     runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -155,7 +157,7 @@ def matches(texts: list[bytes], items: Items, threshold: float):
 
     for first in range(0, len(words), CHUNK):
         stop = min(len(words), first + CHUNK + items.longest)
-        last = ends[(ends > first) & (ends <= stop)]
+        here = slice(np.searchsorted(ends, first, "right"), np.searchsorted(first_words, first + CHUNK, "left"))
         sums: dict[int, np.ndarray] = {}
         for length, part, prints, tables in items.classes:
             k = min(SHINGLE, length)
@@ -168,10 +170,11 @@ def matches(texts: list[bytes], items: Items, threshold: float):
             fits = min(CHUNK, len(total) - n)
             ones = total[n : n + fits : step] - total[:fits:step]
             starts = np.arange(0, fits, step)
-            if step > 1:  # windows at a document's end that the steps jump over
-                tails = last - length - first
-                tails = tails[(tails >= 0) & (tails < fits)]
-                ones, starts = np.concatenate([ones, total[tails + n] - total[tails]]), np.concatenate([starts, tails])
+            if step > 1:  # windows at a document's start and end that the steps jump over
+                whole = counts[here] >= length
+                edges = np.concatenate([first_words[here][whole], ends[here][whole] - length]) - first
+                edges = edges[(edges >= 0) & (edges < fits) & (edges % step > 0)]
+                ones, starts = np.concatenate([ones, total[edges + n] - total[edges]]), np.concatenate([starts, edges])
             fps = majorities(ones, n)
             met: dict[int, list[int]] = {}
             for w, i in items.candidates(fps, part, prints, tables):

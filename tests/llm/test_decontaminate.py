@@ -91,3 +91,21 @@ def test_clean_keeps_the_rest(spark):
     bench = spark.createDataFrame([(5, "one two three four five six")], "item_id long, text string")
     assert sorted(str(r["doc_id"]) for r in d.clean(docs, bench).collect()) == ["2", "None"]
     assert d.clean(docs, bench.limit(0)).count() == 3 and d.clean(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("seed", [2, 4])
+def test_edited_passages_at_document_starts(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randrange(60, 200)))) for i in range(20)]
+    docs, want = [], set()
+    for doc in range(200):
+        item, body = rng.choice(items)
+        passage = body.split()
+        for at in rng.sample(range(len(passage)), max(1, len(passage) // 60)):
+            passage[at] = "changed"
+        if d.weighted_jaccard(grams(words_of(" ".join(passage))), grams(words_of(body))) >= 0.8:
+            want.add((doc, item))
+        docs.append(" ".join(passage + [word() for _ in range(rng.randrange(30, 200))]).encode())
+    block = d.Items([(i, t.encode()) for i, t in items])
+    assert {(doc, block.ids[i]) for doc, i, *_ in d.matches(docs, block, 0.8)} == want and len(want) > 150
