@@ -223,6 +223,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents without a match, all columns as given (null ids: judged by their text alone)."""
-    bad = stored(contaminated(docs.where("doc_id is not null"), benchmark, threshold).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a match, all columns as given; each row is judged by its text alone, whatever its id."""
+    row = F.xxhash64(docs["text"])
+    bad = stored(contaminated(docs.select(row.alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("_row")).distinct())
+    return docs.join(bad, row == bad["_row"], "left_anti")

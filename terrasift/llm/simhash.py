@@ -175,18 +175,34 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents of which no other of the same class comes first by id; columns as given.
+def row_hash(docs: DataFrame) -> Column:
+    """What tells rows of one id, or of none, apart: a hash of the text."""
+    return F.xxhash64(docs["text"])
+
 
-    The one kept has the least doc_id; of repeated rows with that id one is kept.  A null
-    id comes last.  The survivor is found on narrow rows; the texts are shuffled only as
-    far as the semi-join on the fingerprint of the survivors requires.
+def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that come first in their class; ``rows`` has doc_id, row (hash of the text) and root.
+
+    The first has the least id, null ids last, then the least hash; of rows with equal id and
+    text one is kept.  It is found on narrow rows; texts are shuffled only as far as the
+    anti-join with the rows that go requires.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    losers = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(losers, docs["doc_id"].eqNullSafe(losers["doc_id"]), "left_anti")
-    repeated = stored(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    counted = stored(rows.groupBy("root", "doc_id", "row").count())
+    first = counted.groupBy("root").agg(F.min(key).alias("first"))
+    judged = counted.join(first, "root").select("doc_id", "row", "count", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row") == F.col("row"))).alias("kept"))
+    judged = stored(judged.where("not kept or count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "kept"))
+    goes, repeated = judged.where("not kept"), judged.where("kept")
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["_id"]) & (row_hash(left) == right["_row"])
+    kept = docs.join(goes, same(docs, goes), "left_anti")
     if repeated.isEmpty():
         return kept
-    same = kept["doc_id"].eqNullSafe(repeated["doc_id"])
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(repeated, same(kept, repeated), "left_anti").unionByName(kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Documents of which no other of the same class comes first by id; columns as given."""
+    prepare(docs.sparkSession)
+    prints = stored(with_fingerprint(docs.select("doc_id", "text", row_hash(docs).alias("row")), keep=("doc_id", "row")))
+    classes = fingerprint_classes(stored(prints.select("fp").distinct()), radius)
+    return keep_first(docs, prints.join(classes, "fp").select("doc_id", "row", "root"))

@@ -93,6 +93,14 @@ def test_clean_keeps_the_rest(spark):
     assert d.clean(docs, bench.limit(0)).count() == 3 and d.clean(docs.limit(0), bench).count() == 0
 
 
+def test_clean_judges_rows_by_text(spark):
+    """A null id does not save a row, a shared id does not condemn one."""
+    bench = spark.createDataFrame([(1, "these are the words of one benchmark item")], "item_id long, text string")
+    rows = [(1, "a clean text"), (1, "these are the words of one benchmark item"), (None, "these are the words of one benchmark item"), (None, "clean too"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in d.clean(df, bench).collect()) == [("1", "a clean text"), ("2", "None"), ("None", "clean too")]
+
+
 @pytest.mark.parametrize("seed", [2, 4])
 def test_edited_passages_at_document_starts(seed):
     rng = random.Random(seed)

@@ -98,3 +98,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in simhash.components(df).collect()}
     assert len({got[i] for i in range(51)}) == 1 and got[100] == got[101] != got[0]
     assert simhash.components(df.where(F.lit(False))).collect() == []
+
+
+def test_keep_one_decides_by_row(spark):
+    """Null and repeated ids: only true copies go."""
+    texts = [(1, "a b c d e f"), (None, "a b c d e f"), (None, "first text of no id at all"), (None, "quite another one without id"), (None, "quite another one without id"), (2, "one id with this text here"), (2, "and the same id with other words"), (2, "a b c d e f")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in simhash.keep_one(df).collect())))
+    assert got == sorted(map(str, {t for t in texts if t not in [(None, "a b c d e f"), (2, "a b c d e f")]}))
