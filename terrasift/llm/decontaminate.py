@@ -2,21 +2,27 @@
 
 Words are lower-cased (A-Z) after deletion of punctuation; shingles have five words (an
 item of fewer words is one shingle).  Every document is read in windows as long as each
-benchmark item, a window starting every sixth of the item's shingles and at the document's
-first and last possible word.  Prefix sums of
-the shingle bits give a window's fingerprint.  Multi-index blocks: the 64 bits form
-eight blocks, and a fingerprint within ``RADIUS`` of an item's differs in one block by
-RADIUS // 8 bits at most, so eight tables of 256 entries return every such item.  Each
-candidate is verified exactly, at the offset where the window fits best: the weighted
-(multiset) Jaccard similarity of the shingles must reach the threshold.
-
-Items come to the executors in blocks of ``ITEM_BLOCK`` rows by a hash of the item, so
-the size of what is broadcast is bounded and a larger benchmark takes more passes.
-Long documents are read in overlapping chunks of tokens.
-
-Nulls, ties, repeats: a null or empty text or item matches nothing; repeated rows give
-repeated results; a document shorter than an item is compared as a whole; of equally
-similar windows the first is reported; an empty table gives an empty result.
+benchmark item, a window starting at each word.  A window of n shingles at a weighted
+(multiset) Jaccard similarity t to an item of n shingles has 2 t n / (1 + t) of its
+shingles in common with it, so prefix sums of the shingles that any item has rule out,
+for certain, windows that are not near an item.  The rest get fingerprints, the bit-wise
+majority of their shingles' hashes.  Multi-index blocks: the 64 bits form eight blocks,
+and a fingerprint within ``RADIUS`` of an item's differs in one block by RADIUS // 8 bits
+at most, so eight tables of 256 entries return every such item.  Each candidate is then
+verified by the exact weighted similarity of the shingles.
+
+At the threshold itself the fingerprints of a window and an item differ in about ten of
+64 bits with a deviation of three; the radius is four and a half deviations above.
+
+Items come to the executors in blocks of ``BLOCK_BYTES`` of text (an item may exceed it)
+by a hash of the item, so what is broadcast is bounded and a larger benchmark takes more
+passes over the documents.
+
+Nulls, ties, repeats: a null or empty text or item matches nothing; an item without an id
+is left out; repeated items count once, repeated documents give repeated results; a
+document shorter than an item is compared as a whole; of equally similar windows the first
+is reported; an empty table gives an empty result; ids may be of any type and other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import as_bytes, hash_words, rolled, prepare, slices, stored, tokens
+from terrasift.llm.common import as_bytes, hash_words, prepare, rolled, slices, stored, tokens
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 17
-ITEM_BLOCK = 20_000
+RADIUS = 23
+BLOCK_BYTES = 4_000_000
 PUNCTUATION = b".,;:!?\"'()[]"
-#: Tokens of a chunk: the prefix sums of a chunk stay in the processor's cache.
-CHUNK = 4_000
-#: A window starts every n // STEPS shingles of an item of n shingles.
-STEPS = 6
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -51,147 +53,114 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return common / max(1, sum(a.values()) + sum(b.values()) - common)
 
 
-def bit_matrix(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+def needed(n: int, m: int, threshold: float) -> int:
+    """Shingles that multisets of n and m have in common at least at the threshold (a rounding error below it)."""
+    return max(1, ceil(threshold * (n + m) / (1 + threshold) - 1e-9))
+
+
+def fingerprints(windows: np.ndarray) -> np.ndarray:
+    """The bit-wise majority of each row of hashes."""
+    bits = np.unpackbits(np.ascontiguousarray(windows).view(np.uint8).reshape(*windows.shape, 8), axis=2)
+    return np.packbits(2 * bits.sum(1, dtype=np.int64) > windows.shape[1], axis=1).view(np.uint64).ravel()
 
 
 class Items:
     """The items of a block by their number of words, with the block tables."""
 
-    def __init__(self, rows: list[tuple[object, bytes]]) -> None:
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    def __init__(self, texts: list[bytes], threshold: float) -> None:
         flat, counts = tokens(texts, PUNCTUATION)
         words, at = hash_words(flat), np.concatenate(([0], np.cumsum(counts)))
-        self.ids, self.hashes, self.by_length = ids, [], {}
-        prints = np.zeros(len(ids), np.uint64)
-        for i in range(len(ids)):
+        self.threshold, self.hashes = threshold, []
+        by_length: dict[int, list[int]] = {}
+        prints = np.zeros(len(texts), np.uint64)
+        for i in range(len(texts)):
             own = shingles(words[at[i] : at[i + 1]])
             self.hashes.append(Counter(own.tolist()))
             if len(own):
-                prints[i] = np.packbits(2 * bit_matrix(own).sum(0, dtype=np.int64) > len(own)).view(np.uint64)[0]
-                self.by_length.setdefault(int(counts[i]), []).append(i)
-        self.longest = max(self.by_length, default=0)
-        every = np.array([h for c in self.hashes for h in c], np.uint64)
-        self.known = np.zeros(1 << max(16, (64 * len(every)).bit_length()), bool)  # by the hash's low bits
-        self.known[every & np.uint64(len(self.known) - 1)] = True
+                prints[i] = fingerprints(own[None, :])[0]
+                by_length.setdefault(int(counts[i]), []).append(i)
+        self.every = np.array(sorted({h for c in self.hashes for h in c}), np.uint64)
+        self.low_bits = np.zeros(1 << max(16, (8 * len(self.every)).bit_length()), bool)
+        self.low_bits[self.every & np.uint64(len(self.low_bits) - 1)] = True
         near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // 8
+        #: (words, items, fingerprints, eight tables of near items) of each length
         self.classes = []
-        for length, members in sorted(self.by_length.items()):
-            for k in range(0, len(members), 64):  # a table entry has a bit for each of 64 items
-                part = np.array(members[k : k + 64])
-                blocks = prints[part].view(np.uint8).reshape(-1, 8)
-                kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(part) <= 8 * np.dtype(t).itemsize)
-                bits = (np.uint64(1) << np.arange(len(part), dtype=np.uint64)).astype(kind)
-                single = [np.bitwise_or.reduce(np.where(near[:, blocks[:, b]], bits, kind(0)), axis=1) for b in range(8)]
-                # two neighbouring blocks are looked up at once: half the reads, the same answer
-                tables = [np.bitwise_or.outer(single[b + 1], single[b]).ravel() for b in range(0, 8, 2)]
-                self.classes.append((length, part, prints[part], tables))
-
-    def candidates(self, prints: np.ndarray, part: np.ndarray, own: np.ndarray, tables: np.ndarray):
-        """(window number, item number) within the radius, found by the block tables."""
-        pairs = prints.view(np.uint16).reshape(-1, 4)
-        mask = tables[0][pairs[:, 0]]
-        for b in range(1, 4):
-            mask |= tables[b][pairs[:, b]]
-        some = np.flatnonzero(mask)
-        mask, prints = mask[some], prints[some]
-        window, item = np.nonzero(np.bitwise_count(prints[:, None] ^ own[None, :]) <= RADIUS)
-        for w, j in zip(window.tolist(), item.tolist(), strict=True):
-            if int(mask[w]) >> j & 1:
-                yield int(some[w]), int(part[j])
-
-
-def prefix_bits(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Prefix sums of the hash bits.
-
-    Where no window counts over 255 the 64 counters are the bytes of eight longs, summed as
-    longs: carries between bytes cancel in the difference of two prefixes.
-    """
-    kind = np.uint64 if n <= 255 else np.uint32
-    bits = bit_matrix(hashes)
-    bits = bits.view(np.uint64) if n <= 255 else bits
-    out = np.zeros((len(hashes) + 1, bits.shape[1]), kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
-    return out
-
-
-def majorities(counts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints of windows of n shingles from the differences of their prefix sums."""
-    ones = counts.view(np.uint8) if counts.dtype == np.uint64 else counts
-    return np.packbits((ones > n // 2).ravel()).view(np.uint64)
+        for length, members in sorted(by_length.items()):
+            part = np.array(members)
+            blocks = prints[part].view(np.uint8).reshape(-1, 8)
+            self.classes.append((length, part, prints[part], [near[:, blocks[:, b]] for b in range(8)]))
+        #: the least a document has in common with any item that it matches, by the words of a shingle
+        self.least: dict[int, int] = {}
+        for length in by_length:
+            k = min(SHINGLE, length)
+            least = max(1, ceil(threshold * (length - k + 1) - 1e-9))
+            self.least[k] = min(least, self.least.get(k, least))
+
+    def known(self, own: np.ndarray) -> np.ndarray:
+        """Prefix sums of whether some item has each shingle."""
+        has = self.low_bits[own & np.uint64(len(self.low_bits) - 1)]
+        may = np.flatnonzero(has)
+        if len(may):
+            has[may] = self.every[np.minimum(np.searchsorted(self.every, own[may]), len(self.every) - 1)] == own[may]
+        return np.concatenate(([0], np.cumsum(has, dtype=np.int64)))
+
+    def candidates(self, fps: np.ndarray, own: np.ndarray, tables: list[np.ndarray]):
+        """(window number, place in the class) within the radius, found by the block tables."""
+        blocks = fps.view(np.uint8).reshape(-1, 8)
+        met = tables[0][blocks[:, 0]]
+        for b in range(1, 8):
+            met = met | tables[b][blocks[:, b]]
+        window, item = np.nonzero(met)
+        near = np.bitwise_count(fps[window] ^ own[item]) <= RADIUS
+        return zip(window[near].tolist(), item[near].tolist(), strict=True)
+
+
+def document_matches(words: np.ndarray, items: Items) -> dict[int, tuple[float, int]]:
+    """{item: (similarity, first word)} of a document given by its words' hashes."""
+    best: dict[int, tuple[float, int]] = {}
+    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    threshold = items.threshold
 
+    def verify(own: np.ndarray, i: int, first: int) -> None:
+        found = weighted_jaccard(Counter(own.tolist()), items.hashes[i])
+        if found >= threshold and found > best.get(i, (0.0, 0))[0]:
+            best[i] = (found, first)
 
-def matches(texts: list[bytes], items: Items, threshold: float):
+    for length, part, prints, tables in items.classes:
+        k = min(SHINGLE, length)
+        if k not in runs:
+            own = rolled(words, k)
+            runs[k] = own, items.known(own)
+        (own, known), n = runs[k], length - k + 1
+        if len(words) >= length:
+            starts = np.flatnonzero(known[n:] - known[:-n] >= needed(n, n, threshold))
+            step = max(1, 500_000 // max(n, len(part)))
+            for a in range(0, len(starts), step):
+                at = starts[a : a + step]
+                for w, j in items.candidates(fingerprints(own[at[:, None] + np.arange(n)]), prints, tables):
+                    verify(own[at[w] : at[w] + n], int(part[j]), int(at[w]))
+        elif len(words):  # the whole text against a longer item
+            whole = shingles(words)
+            m = len(whole)
+            if m >= needed(m, n, threshold):
+                for _, j in items.candidates(fingerprints(whole[None, :]), prints, tables):
+                    verify(whole, int(part[j]), 0)
+    return best
+
+
+def matches(texts: list[bytes], items: Items):
     """(text number, item number, similarity, first word) of each item found in each text."""
     flat, counts = tokens(texts, PUNCTUATION)
     words = hash_words(flat)
-    owner = np.repeat(np.arange(len(texts)), counts)
     ends = np.cumsum(counts)
-    first_words = ends - counts
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def run(k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k-word shingles and the prefix counts of those that may be some item's."""
-        if k not in runs:
-            own = rolled(words, k)
-            known = np.zeros(len(own) + 1, np.int32)
-            np.cumsum(items.known[own & np.uint64(len(items.known) - 1)], out=known[1:])
-            runs[k] = own, known
-        return runs[k]
-
-    def verify(starts: list[int], i: int, reach: int, length: int) -> None:
-        k, target = min(SHINGLE, length), items.hashes[i]
-        n, (own, known) = length - k + 1, run(k)
-        at = np.array(starts)
-        at = at[at + length <= ends[owner[at]]]
-        low = np.maximum(ends[owner[at]] - counts[owner[at]], at - reach)
-        high = np.minimum(ends[owner[at]] - length, at + reach)
-        may = known[np.minimum(high + n, len(own))] - known[low] >= threshold * n
-        spots = {s for a, b in zip(low[may].tolist(), high[may].tolist(), strict=True) for s in range(a, b + 1)}
-        for s in sorted(spots):
-            if known[s + n] - known[s] >= threshold * n:
-                found, doc = weighted_jaccard(Counter(own[s : s + n].tolist()), target), int(owner[s])
-                if found >= threshold and found > best.get((doc, i), (0.0, 0))[0]:
-                    best[doc, i] = (found, s)
-
-    for first in range(0, len(words), CHUNK):
-        stop = min(len(words), first + CHUNK + items.longest)
-        here = slice(np.searchsorted(ends, first, "right"), np.searchsorted(first_words, first + CHUNK, "left"))
-        sums: dict[int, np.ndarray] = {}
-        for length, part, prints, tables in items.classes:
-            k = min(SHINGLE, length)
-            n = length - k + 1
-            if stop - first < length:
-                continue
-            if (k, n > 255) not in sums:
-                sums[k, n > 255] = prefix_bits(run(k)[0][first : stop - k + 1], n)
-            total, step = sums[k, n > 255], max(1, n // STEPS)
-            fits = min(CHUNK, len(total) - n)
-            ones = total[n : n + fits : step] - total[:fits:step]
-            starts = np.arange(0, fits, step)
-            if step > 1:  # windows at a document's start and end that the steps jump over
-                whole = counts[here] >= length
-                edges = np.concatenate([first_words[here][whole], ends[here][whole] - length]) - first
-                edges = edges[(edges >= 0) & (edges < fits) & (edges % step > 0)]
-                ones, starts = np.concatenate([ones, total[edges + n] - total[edges]]), np.concatenate([starts, edges])
-            fps = majorities(ones, n)
-            met: dict[int, list[int]] = {}
-            for w, i in items.candidates(fps, part, prints, tables):
-                met.setdefault(i, []).append(first + int(starts[w]))
-            for i, found in met.items():
-                verify(found, i, step, length)
-    for doc in np.flatnonzero((counts > 0) & (counts < items.longest)):  # whole texts against longer items
-        own = shingles(words[ends[doc] - counts[doc] : ends[doc]])
-        fp = np.packbits(2 * bit_matrix(own).sum(0, dtype=np.int64) > len(own)).view(np.uint64)
-        for length, part, prints, tables in items.classes:
-            if counts[doc] < length <= 2 * counts[doc] + SHINGLE:
-                for _, i in items.candidates(fp, part, prints, tables):
-                    found = weighted_jaccard(Counter(own.tolist()), items.hashes[i])
-                    if found >= threshold and found > best.get((doc, i), (0.0, 0))[0]:
-                        best[int(doc), i] = (found, int(ends[doc] - counts[doc]))
-    for (doc, i), (found, s) in sorted(best.items()):
-        yield doc, i, found, s - int(ends[doc] - counts[doc])
+    may = np.zeros(len(texts), bool)
+    for k, least in items.least.items():  # shingles over the end of a text only let more texts through
+        own = rolled(words, k)
+        known = items.known(own)
+        may |= known[np.minimum(ends, len(own))] - known[np.minimum(ends - counts, len(own))] >= least
+    for doc in np.flatnonzero(may).tolist():
+        best = document_matches(words[ends[doc] - counts[doc] : ends[doc]], items)
+        yield from ((doc, i, *found) for i, found in sorted(best.items()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -199,23 +168,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     prepare(spark)
     items = stored(benchmark.select("item_id", as_bytes(F.col("text")).alias("text")).where("item_id is not null").distinct())
-    n = items.count()
-    schema = docs.select("doc_id", F.lit(0).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("first_word")).schema
+    size = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    schema = docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("first_word")).schema
     narrow = docs.select("doc_id", as_bytes(F.col("text")).alias("text"))
-    blocks = max(1, ceil(n / ITEM_BLOCK))
+    blocks = max(1, ceil(size / BLOCK_BYTES))
     out = None
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text")
-        shared = spark.sparkContext.broadcast([(r["item_id"], bytes(r["text"])) for r in part.collect()])
+        shared = spark.sparkContext.broadcast(part.toArrow())
 
         def run(batches, shared=shared):
-            block = Items(shared.value)
+            ids, texts = (shared.value.column(i).combine_chunks() for i in range(2))
+            block = Items(texts.to_pylist(), threshold)
             for batch in batches:
-                rows = []
-                for start, texts in slices(batch.column(1), 1_000_000):
-                    rows += [(start + doc, block.ids[i], found, first) for doc, i, found, first in matches(texts, block, threshold)]
-                at, ids, found, first = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(found, pa.float64()), pa.array(first, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
+                rows = [(start + doc, *found) for start, held in slices(batch.column(1)) for doc, *found in matches(held, block)]
+                at, which, found, first = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), ids.take(pa.array(which, pa.int64())), pa.array(found, pa.float64()), pa.array(first, pa.int64())], names=["doc_id", "item_id", "similarity", "first_word"])
 
         found = narrow.mapInArrow(run, schema)
         out = found if out is None else out.union(found)

@@ -65,11 +65,11 @@ def test_against_brute_force(spark, seed):
     assert got == plain(docs, items)
 
 
-def test_blocks_and_chunks_change_nothing(spark, monkeypatch):
+def test_blocks_change_nothing(spark, monkeypatch):
     docs, items = case(7)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(tuple, d.contaminated(df, bench).collect()))
-    monkeypatch.setattr(d, "ITEM_BLOCK", 6)
+    monkeypatch.setattr(d, "BLOCK_BYTES", 2_000)
     assert sorted(map(tuple, d.contaminated(df, bench).collect())) == whole
 
 
@@ -77,13 +77,13 @@ def test_block_tables_reach_every_fingerprint_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(2)
-    items = d.Items([(0, b"a b c d e f g h i j k l")])
+    items = d.Items([b"a b c d e f g h i j k l"], 0.8)
     ((_, part, prints, tables),) = items.classes
     for r in range(d.RADIUS + 1):
         for _ in range(50):
             bits = rng.choice(64, r, replace=False)
             other = prints ^ np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), initial=np.uint64(0))
-            assert list(items.candidates(other, part, prints, tables)) == [(0, 0)]
+            assert list(items.candidates(other, prints, tables)) == [(0, 0)] and part.tolist() == [0]
 
 
 def test_clean_keeps_the_rest(spark):
@@ -115,5 +115,42 @@ def test_edited_passages_at_document_starts(seed):
         if d.weighted_jaccard(grams(words_of(" ".join(passage))), grams(words_of(body))) >= 0.8:
             want.add((doc, item))
         docs.append(" ".join(passage + [word() for _ in range(rng.randrange(30, 200))]).encode())
-    block = d.Items([(i, t.encode()) for i, t in items])
-    assert {(doc, block.ids[i]) for doc, i, *_ in d.matches(docs, block, 0.8)} == want and len(want) > 150
+    block = d.Items([t.encode() for _, t in items], 0.8)
+    assert {(doc, i) for doc, i, *_ in d.matches(docs, block)} == want and len(want) > 150
+
+
+def test_edited_passages_inside_one_very_long_text():
+    """Every item, edited down to nearly the threshold, at any offset of a text of 100,000 words."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    items = [" ".join(word() for _ in range(rng.randrange(5, 120))) for _ in range(60)]
+    text, want = [], set()
+    for i, body in enumerate(items):
+        passage = body.split()
+        for _ in range(len(passage) // 50):
+            passage[rng.randrange(len(passage))] = "changed"
+        if d.weighted_jaccard(grams(words_of(" ".join(passage))), grams(words_of(body))) >= 0.8:
+            want.add(i)
+        text += passage + [word() for _ in range(rng.randrange(1500, 1700))]
+    block = d.Items([t.encode() for t in items], 0.8)
+    assert {i for _, i, *_ in d.matches([b"", " ".join(text).encode(), b"x"], block)} == want and len(want) > 50
+
+
+def test_ids_of_any_type_repeated_items_and_other_columns(spark):
+    docs = spark.createDataFrame([("a", "these are the words of one item", "c"), ("a", "these are the words of one item", "c"), ("b", None, "c")], "doc_id string, text string, item_id string")
+    bench = spark.createDataFrame([("q-1", "These are the words of one item."), ("q-1", "These are the words of one item."), (None, "these are the words of one item"), ("q-2", "")], "item_id string, text string")
+    got = d.contaminated(docs, bench)
+    assert got.columns == ["doc_id", "item_id", "similarity", "first_word"]
+    assert sorted(map(tuple, got.collect())) == [("a", "q-1", 1.0, 0)] * 2
+    assert d.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_query_equals_brute_force(spark, tmp_path):
+    """The registered query over tables of the expected names."""
+    from terrasift.llm.queries import op10_decontamination
+
+    docs, items = case(11)
+    spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in op10_decontamination(spark, str(tmp_path)).collect()}
+    assert got == plain(docs, items)
