@@ -10,14 +10,16 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from terrasift.session import ship
 
@@ -57,11 +59,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each query's shuffle files go at its end: what is used twice is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """The name, or the first lengthening of it by underscores, that no column has in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array (null text: no words)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -119,3 +141,44 @@ def rolled(words: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def chained(df: DataFrame, by: list[str], group: str, links: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What ``links`` makes of each row and the row before it in the order of ``by``, within a ``group``.
+
+    ``links`` gets two tables of as many rows, each row's predecessor and itself, and returns a
+    table of the schema.  The order is dealt out by ranges, so a group of any size is spread over
+    tasks; pairs over the border of two tasks are made from the tasks' first and last rows, of
+    which there are no more than tasks.
+    """
+    names = df.columns
+    out = [x.split()[0] for x in schema.split(", ")]
+
+    def made(before: pa.Table, after: pa.Table) -> pa.Table:
+        same = pc.equal(before.column(group), after.column(group))
+        return links(before.filter(same), after.filter(same)).select(out)
+
+    def run(batches):
+        first = last = None
+        empty = lambda table, width: [pa.nulls(table.num_rows, t) for t in width]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            whole = rows if last is None else pa.concat_tables([last, rows])
+            first = rows.slice(0, 1) if first is None else first
+            found = made(whole.slice(0, whole.num_rows - 1), whole.slice(1))
+            last = rows.slice(rows.num_rows - 1, 1)
+            if found.num_rows:
+                yield from pa.table([*found.columns, *empty(found, [f.type for f in rows.schema])], names=[*out, *(f"_{c}" for c in names)]).to_batches()
+        if first is not None:
+            for edge in (first, last):
+                yield from pa.table([*empty(edge, out_types), *edge.columns], names=[*out, *(f"_{c}" for c in names)]).to_batches()
+
+    out_types = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema).types
+    both = schema + ", " + ", ".join(f"`_{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    ordered = df.repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by)
+    found = stored(ordered.mapInArrow(run, both))
+    edges = found.where(F.col(f"_{group}").isNotNull()).select(*[F.col(f"_{c}").alias(c) for c in names]).orderBy(*by).toArrow()
+    over = made(edges.slice(0, max(0, edges.num_rows - 1)), edges.slice(1))
+    return found.where(F.col(f"_{group}").isNull()).select(*out).union(df.sparkSession.createDataFrame(over.to_pylist(), schema))

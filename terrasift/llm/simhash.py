@@ -7,16 +7,19 @@ the one shingle; a text without words (null included) has fingerprint zero.
 Search.  The 64 bits are cut into 32 segments of two bits; a fingerprint becomes the
 vector of the segments' popcounts (0, 1 or 2), packed into one long.  Changing a bit
 moves the vector by one, so the Manhattan distance of two vectors is a lower bound of
-the Hamming distance.  The segments form three groups: of two vectors within distance
-4 at least one group differs by 4 // 3 = 1 at most.  A cell of the grid is a group's
-popcounts; each fingerprint looks into its own cell and the cells one step up, which
-meets every such pair from one side.  Candidates are verified by the exact distance.
+the Hamming distance.  The segments form g groups: two vectors within distance r are
+equal in g - r of them at least.  A cell of the grid is one choice of g - r groups with
+their popcounts, so fingerprints within r share a cell, and those that share one are
+verified by the exact distance.  More groups make more, smaller cells; g is the least at
+which a cell is expected to hold ``CELL`` fingerprints or fewer, so the number of candidates
+grows with the rows and not with their square, and the result is the same for every g.
 
 Dense groups.  Only distinct fingerprints are searched.  Before the grid join, chains
-over three sort orders link what is close already; the join then emits links between
-different chains only, so that thousands of near copies give no square of pairs while
-no link between two classes is lost.  Classes come from contraction by
-minimum neighbour over randomly ordered nodes, which halves the graph in each round.
+over three sort orders link what is close already.  In a cell the fingerprints of its
+largest class are not compared with each other, only what is left of the cell with all of
+it, so thousands of near copies give no square of pairs while no link between two classes
+is lost.  Classes come from contraction by minimum neighbour over randomly ordered nodes,
+which halves the graph in each round.
 
 Nulls, ties, repeats: a null id keeps its row and is ignored for component ids unless
 the class has no other; repeated rows come out once each; an empty table gives an
@@ -25,17 +28,23 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.common import as_bytes, prepare, slices, stored
+from terrasift.llm.common import as_bytes, chained, prepare, slices, stored
 
 RADIUS = 4
-#: Two-bit fields of the packed popcount vector that form a group: 11, 11 and 10 segments.
-GROUPS = ((0, 11), (11, 22), (22, 32))
+SEGMENTS = 32
+#: Fingerprints expected in a cell at most, and groups of segments at most.
+CELL, MOST_GROUPS = 8, 12
+#: Segments whose popcounts begin each of the three orders of the chains.
+ORDERS = ((0, 11), (11, 22), (22, 32))
 
 
 def fingerprints_of(texts: list[bytes], k: int = 4) -> np.ndarray:
@@ -54,10 +63,15 @@ def fingerprints_of(texts: list[bytes], k: int = 4) -> np.ndarray:
         elif words:
             hashes.append(digest(b" ".join(words), 42))
         counts[i] = len(hashes) - before
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashes, np.uint64), counts)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each run of so many hashes; 0 for a run of none."""
+    out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).byteswap().view(np.uint8).reshape(-1, 8), axis=1)
+        bits = np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1)
         starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
         out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1).view(">u8").ravel()
@@ -90,21 +104,25 @@ def _long(value: int) -> Column:
     return F.lit(value - (1 << 64) if value >= 1 << 63 else value).cast("long")
 
 
-def _mask(group: tuple[int, int]) -> int:
-    return sum(3 << (2 * i) for i in range(*group))
+def _mask(segments: Iterable[int]) -> int:
+    return sum(3 << (2 * i) for i in segments)
 
 
-def cells(vector: Column, probes: bool) -> Column:
-    """(group, cell) of a vector; with ``probes`` also the cells one step up in one segment."""
-    found = []
-    for g, group in enumerate(GROUPS):
-        own = vector.bitwiseAND(_long(_mask(group)))
-        found.append(F.struct(F.lit(g).alias("g"), own.alias("cell")))
-        for i in range(*group) if probes else ():
-            count = F.shiftrightunsigned(vector, 2 * i).bitwiseAND(_long(3))
-            more = F.when(count == 0, own.bitwiseXOR(_long(1 << 2 * i))).when(count == 1, own.bitwiseXOR(_long(3 << 2 * i)))
-            found.append(F.when(count < 2, F.struct(F.lit(g).alias("g"), more.alias("cell"))))
-    return F.array_compact(F.array(*found)) if probes else F.array(*found)
+def grid(rows: int, radius: int, most: int = MOST_GROUPS) -> list[int]:
+    """The masks of the grid's choices of segment groups for so many fingerprints.
+
+    A segment's popcount has 1.5 bits of entropy, so a choice of s segments has 2^(1.5 s) cells.
+    """
+    for g in range(radius + 2, most + 1):
+        if rows <= CELL * 2 ** (1.5 * SEGMENTS * (g - radius) / g):
+            break
+    groups = np.array_split(np.arange(SEGMENTS), g)
+    return [_mask(np.concatenate(chosen).tolist()) for chosen in combinations(groups, g - radius)]
+
+
+def cells(vector: Column, masks: list[int]) -> Column:
+    """(g, cell) of a vector for each choice of groups."""
+    return F.array(*[F.struct(F.lit(g).alias("g"), vector.bitwiseAND(_long(m)).alias("cell")) for g, m in enumerate(masks)])
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -137,28 +155,38 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def chains(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links of neighbours in each grid cell, in three orders: one link a row at most."""
+    """Links of neighbours that share the popcounts of a third of the segments, in three orders."""
+
+    def links(before: pa.Table, after: pa.Table) -> pa.Table:
+        a, b = (np.asarray(t.column("fp")).astype(np.int64) for t in (before, after))
+        near = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+        return pa.table({"a": b[near], "b": a[near]})
+
     out = None
-    for g, group in enumerate(GROUPS):
-        cell = popcounts(F.col("fp")).bitwiseAND(_long(_mask(group)))
+    for g, group in enumerate(ORDERS):
+        cell = popcounts(F.col("fp")).bitwiseAND(_long(_mask(range(*group))))
         turned = F.shiftleft("fp", 21 * g).bitwiseOR(F.shiftrightunsigned("fp", 64 - 21 * g)) if g else F.col("fp")
-        window = Window.partitionBy("cell").orderBy("turned")
-        linked = nodes.select("fp", cell.alias("cell"), turned.alias("turned")).select("fp", F.lag("fp").over(window).alias("b"))
-        linked = linked.where(F.col("b").isNotNull() & (distance(F.col("fp"), F.col("b")) <= radius)).select(F.col("fp").alias("a"), "b")
+        linked = chained(nodes.select("fp", cell.alias("cell"), turned.alias("turned")), ["cell", "turned"], "cell", links, "a long, b long")
         out = linked if out is None else out.union(linked)
     return out
 
 
+def cell_links(labelled: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(a, b): roots of two classes with fingerprints within the radius, from (fp, root)."""
+    placed = labelled.select("fp", "root", F.inline(cells(popcounts(F.col("fp")), masks)))
+    sizes = placed.groupBy("g", "cell", "root").count().groupBy("g", "cell").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("largest"))
+    mixed = stored(placed.join(sizes.where("roots > 1").select("g", "cell", "largest"), ["g", "cell"]))
+    rest = mixed.where("root <> largest").select("g", "cell", F.col("fp").alias("fa"), F.col("root").alias("ra"))
+    every = mixed.select("g", "cell", F.col("fp").alias("fb"), F.col("root").alias("rb"))
+    met = rest.join(every, ["g", "cell"]).where((F.col("ra") != F.col("rb")) & (distance(F.col("fa"), F.col("fb")) <= radius))
+    return met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+
+
 def fingerprint_classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of ``nodes`` that has a link."""
+    """(fp, root) for every distinct fingerprint of ``nodes``."""
     first = stored(components(chains(nodes, radius)))
     labelled = stored(nodes.join(first.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
-    vector = popcounts(F.col("fp"))
-    grid = labelled.select(F.col("fp").alias("fb"), F.col("root").alias("rb"), F.inline(cells(vector, probes=False)))
-    probe = labelled.select(F.col("fp").alias("fa"), F.col("root").alias("ra"), F.inline(cells(vector, probes=True)))
-    met = probe.join(grid, ["g", "cell"]).where((F.col("ra") != F.col("rb")) & (distance(F.col("fa"), F.col("fb")) <= radius))
-    links = met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    second = components(links)
+    second = stored(components(cell_links(labelled, grid(labelled.count(), radius), radius)))
     joined = labelled.join(second.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     return joined.select("fp", F.coalesce("top", "root").alias("root"))
 
@@ -169,8 +197,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = stored(with_fingerprint(docs))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     classes = fingerprint_classes(nodes.select("fp"), radius)
-    named = nodes.join(classes, "fp").select("fp", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(nodes.join(classes, "fp").select("fp", "root", "least"))
+    least = stored(named.groupBy("root").agg(F.min("least").alias("component_id")))  # stored: the join may then split a large class
     by_fp = stored(named.join(least, "root").select("fp", "component_id"))
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -189,7 +217,7 @@ def keep_first(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     counted = stored(rows.groupBy("root", "doc_id", "row").count())
-    first = counted.groupBy("root").agg(F.min(key).alias("first"))
+    first = stored(counted.groupBy("root").agg(F.min(key).alias("first")))
     judged = counted.join(first, "root").select("doc_id", "row", "count", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row") == F.col("row"))).alias("kept"))
     judged = stored(judged.where("not kept or count > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "kept"))
     goes, repeated = judged.where("not kept"), judged.where("kept")
