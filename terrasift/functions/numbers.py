@@ -13,12 +13,8 @@ EASTING, NORTHING = (100000, 999999), (3000000, 5000000)
 LATITUDE, LONGITUDE = (35, 43), (25, 46)
 SQUARE_METRES_PER_HECTARE = 10000.0
 
-EU_GROUPS = r"^[+-]?[0-9]{1,3}((\.[0-9]{3}){2,}(,[0-9]+)?|(\.[0-9]{3})+,[0-9]+)$"
-US_GROUPS = r"^[+-]?[0-9]{1,3}((,[0-9]{3}){2,}(\.[0-9]+)?|(,[0-9]{3})+\.[0-9]+)$"
-SPACE_GROUPS = r"^[+-]?[0-9]{1,3}(\s[0-9]{3})+([.,][0-9]+)?$"
-PLAIN = r"^[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)$"
 #: A number inside a line: grouped by dots, commas or single blanks, or plain.
-TOKEN = r"[+-]?(?:[0-9]{1,3}(?:[. ,][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)"
+TOKEN = r"[+-]?(?:[0-9]{1,3}(?:[. ,][0-9]{3}(?![0-9]))+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)"
 
 
 def cleaned(value: Column) -> Column:
@@ -27,19 +23,57 @@ def cleaned(value: Column) -> Column:
 
 
 def parse_number(value: Column) -> Column:
-    """FN-01: a localized number as a double; a single ``ddd.ddd`` group is a decimal."""
+    """FN-01: a localized number as a double; a single ``ddd.ddd`` group is a decimal.
+
+    The separators between the digits tell the style.  One dot or comma is the decimal mark.
+    A mark that repeats, a blank, or a mark before another last one groups thousands: then
+    the first group has one to three digits and the others have three.
+    """
     text = cleaned(value)
-    swapped = F.translate(F.replace(text, F.lit("."), F.lit("")), ",", ".")
-    blanks = F.regexp_replace(text, r"\s", "")
-    comma_once = (F.length(blanks) - F.length(F.replace(blanks, F.lit(","), F.lit(""))) == 1) & ~F.contains(blanks, F.lit("."))
-    spaced = F.when(comma_once, F.translate(blanks, ",", ".")).otherwise(F.replace(blanks, F.lit(","), F.lit("")))
-    chosen = (
-        F.when(text.rlike(EU_GROUPS), swapped)
-        .when(text.rlike(US_GROUPS), F.replace(text, F.lit(","), F.lit("")))
-        .when(text.rlike(SPACE_GROUPS), spaced)
-        .when(text.rlike(PLAIN), F.translate(text, ",", "."))
-    )
-    return chosen.try_cast("double")
+    body = F.regexp_replace(text, "^[+-]", "")
+    marks = F.regexp_replace(F.regexp_replace(body, "[0-9]", ""), r"\s", " ")
+    parts = F.split(body, r"[.,\s]")
+    n, last = F.length(marks), F.right(marks, F.lit(1))
+    repeats = marks == F.repeat(F.left(marks, F.lit(1)), n)
+    leading = F.left(marks, n - 1) == F.repeat(F.left(marks, F.lit(1)), n - 1)
+    grouped = F.when(repeats & ((n > 1) | (marks == " ")), n + 1).when(~repeats & leading & (n > 1) & last.isin(".", ","), n)
+    groups = F.slice(parts, 1, F.coalesce(grouped, F.lit(1)))
+    sized = F.element_at(groups, 1).rlike("^[0-9]{1,3}$") & F.forall(F.slice(groups, 2, F.greatest(n, F.lit(1))), lambda g: F.length(g) == 3)
+    fraction = F.when(grouped == n + 1, "0").otherwise(F.element_at(parts, -1))
+    of_groups = F.concat(F.array_join(groups, ""), F.lit("."), fraction)
+    plain = F.array_join(parts, ".")
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    chosen = F.when(grouped.isNotNull(), F.when(sized & (fraction != ""), of_groups)).when((n == 0) | ((n == 1) & marks.isin(".", ",")), plain)
+    return sign * F.when(body.rlike("^[0-9.,\\s]*[0-9][0-9.,]*$"), chosen).try_cast("double")
+
+
+def number_of(token: str) -> float | None:
+    """The twin of ``parse_number`` inside the document scan."""
+    text = token.strip().strip(":").strip()
+    body = text[1:] if text[:1] in ("+", "-") else text
+    parts, marks = [""], ""
+    for c in body:
+        if c in "0123456789":
+            parts[-1] += c
+        elif c in ".," or c.isspace():
+            marks += " " if c.isspace() else c
+            parts.append("")
+        else:
+            return None
+    if not any(parts) or (marks and not parts[-1] and marks[-1] == " "):
+        return None
+    first = marks[:1]
+    if not marks or (len(marks) == 1 and first != " "):
+        value = float(".".join(parts) if marks else parts[0])
+    else:
+        whole = len(parts) if set(marks) == {first} else len(parts) - 1
+        fraction = "0" if whole == len(parts) else parts[-1]
+        if set(marks[: whole - 1]) != {first} or marks[-1] == " " != first or not fraction:
+            return None
+        if not 1 <= len(parts[0]) <= 3 or any(len(p) != 3 for p in parts[1:whole]):
+            return None
+        value = float("".join(parts[:whole]) + "." + fraction)
+    return -value if text[:1] == "-" else value
 
 
 def is_number(value: Column) -> Column:

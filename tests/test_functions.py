@@ -30,6 +30,19 @@ def test_numbers_round_trip(spark):
         assert [round(v * 100) for v in values(spark, written, numbers.parse_number)] == cents
 
 
+def test_both_readers_of_numbers_agree(spark):
+    rng = random.Random(9)
+    given = ["1.2.3", "1.234.567", "1,234,567", "1.234,567", "1,234.5", "12.", ".5", ",5", ".", ",", "-1 234,5", "+12", "1 234", "1 23", "12 345 678.25", "1.234.", "1..234", "1 2,3.4", "1234.567.890", "--1", "-", "1,234,5", "1.234,567,890", "5 "]
+    given += ["".join(rng.choices("0123456789", k=rng.randrange(1, 5)) + [rng.choice([".", ",", " ", ""])] + rng.choices("0123456789", k=3) + [rng.choice([".", ",", " ", ""])] + rng.choices("0123456789", k=rng.randrange(0, 4))) for _ in range(300)]
+    assert values(spark, given, numbers.parse_number) == [numbers.number_of(g) for g in given]
+    assert [numbers.number_of(g) for g in given[:10]] == [None, 1234567.0, 1234567.0, 1234.567, 1234.5, 12.0, 0.5, 0.5, None, None]
+
+
+def test_combined_heading(spark):
+    given = ["Ruhsat ve ÇED Alanı", "ÇED / Ruhsat", "Ruhsat Alanı, 12 No.lu saha ve Proje Alanı", "Ruhsat Alanı ÇED", "Ruhsat " + "x " * 9 + "ve ÇED", "Ruhsat ve", None, "Veli Ruhsat Ced"]
+    assert values(spark, given, gate.is_combined) == [True, True, True, False, False, False, False, False]
+
+
 def test_thousands_and_pairs(spark):
     assert values(spark, ["1 463 000 4 014 000", "R1 512300 4301200", "463 000", ""], numbers.line_tokens) == [["1", "463 000", "4 014 000"], ["R1", "512300", "4301200"], ["463 000"], []]
     got = values(spark, ["38,5 : 33,25", "512300 4301200", "1 2 3", None], numbers.combined_pair)
