@@ -144,6 +144,15 @@ def inherited(tables: DataFrame, doc: str = "doc_id", order: str = "table_index"
     return tables.withColumn("effective_type", F.when(F.coalesce(F.col(kind), F.lit("DIGER")) == "DIGER", F.coalesce(carried, F.lit("DIGER"))).otherwise(F.col(kind)))
 
 
+def prioritised(tables: DataFrame) -> DataFrame:
+    """CLS-04, CLS-06, TOP-01: each table's section, its score, whether it is geographic, and its place
+    in its document by score, tables of equal score in their order."""
+    sectioned = tables.withColumn("section", section_of(F.split("text", "\n")))
+    scored = sectioned.withColumn("section_score", section_score(F.col("section"))).withColumn("geographic", geographic_primary(F.col("text")))
+    place = Window.partitionBy("doc_id").orderBy(F.col("section_score").desc(), "table_index")
+    return scored.withColumn("priority", F.row_number().over(place))
+
+
 def geographic_primary(text: Column) -> Column:
     """CLS-04: few UTM numbers, and a geographic header or six numbers of degree range."""
     up = fold(text)

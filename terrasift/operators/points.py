@@ -25,14 +25,14 @@ def latest_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return ranked.unionByName(df.where(~has))
 
 
-def attested(points: DataFrame, tables: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """PR-15: points whose UTM or geographic values occur in the table's text; all if none does."""
-    tokens = tables.select("doc_id", "table_index", number_tokens(F.regexp_replace("text", r"\n", " ; ")).alias("_tokens"))
+def attested(points: DataFrame, text: str = "_text", tolerance: float = 0.6) -> DataFrame:
+    """PR-15: points whose UTM or geographic values occur in their table's text; all of a table if none does."""
+    tokens = number_tokens(F.regexp_replace(text, r"\n", " ; "))
     near = lambda v: F.exists("_tokens", lambda t: F.abs(t - v) <= tolerance)
     kept = (near(F.col("utm_y")) & near(F.col("utm_x"))) | (near(F.col("latitude")) & near(F.col("longitude")))
     window = Window.partitionBy("doc_id", "table_index")
-    marked = points.join(tokens, ["doc_id", "table_index"], "left").withColumn("_kept", F.coalesce(kept, F.lit(False))).withColumn("_any", F.max("_kept").over(window))
-    return marked.where(F.col("_kept") | ~F.col("_any")).drop("_tokens", "_kept", "_any")
+    held = points.withColumn("_tokens", tokens).withColumn("_kept", F.coalesce(kept, F.lit(False))).drop("_tokens")
+    return held.withColumn("_any", F.max("_kept").over(window)).where(F.col("_kept") | ~F.col("_any")).drop("_kept", "_any")
 
 
 def table_crs(tables: DataFrame) -> DataFrame:
@@ -70,8 +70,14 @@ def with_conflicts(points: DataFrame, y: str = "utm_y", x: str = "utm_x", epsg:
 
 def crs_summary(points: DataFrame, keys: list[str]) -> DataFrame:
     """CRS-06: codes and confidence of a group: CONFLICTING over HIGH (all) over UNRESOLVED."""
-    rank = F.when(F.bool_or(F.col("crs_conflict") | (F.col("crs_confidence") == "CONFLICTING")), "CONFLICTING").when(F.bool_and(F.col("crs_confidence") == "HIGH"), "HIGH").otherwise("UNRESOLVED")
-    return points.groupBy(*keys).agg(F.array_sort(F.collect_set("projected_crs_epsg")).alias("epsg_codes"), rank.alias("group_confidence"))
+    return points.groupBy(*keys).agg(*crs_aggregates())
+
+
+def crs_aggregates() -> list[Column]:
+    """CRS-06 as aggregates beside others of the same grouping."""
+    clash = F.bool_or(F.coalesce(F.col("crs_conflict"), F.lit(False)) | (F.coalesce(F.col("crs_confidence"), F.lit("")) == "CONFLICTING"))
+    rank = F.when(clash, "CONFLICTING").when(F.bool_and(F.coalesce(F.col("crs_confidence") == "HIGH", F.lit(False))), "HIGH").otherwise("UNRESOLVED")
+    return [F.array_sort(F.collect_set("projected_crs_epsg")).alias("epsg_codes"), rank.alias("group_confidence")]
 
 
 def with_declared(points: DataFrame) -> DataFrame:

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry
+from terrasift.operators.points import crs_aggregates
 from terrasift.session import ship
 
 VERTEX = "struct<seq:int,name:string,y:double,x:double,lat:double,lon:double>"
@@ -24,7 +27,7 @@ def grouped(points: DataFrame) -> DataFrame:
     vertex = F.struct(F.col("seq").cast("int").alias("seq"), F.col("label").alias("name"), F.coalesce("utm_y", "longitude").alias("y"), F.coalesce("utm_x", "latitude").alias("x"), F.coalesce("transformed_latitude", "latitude").alias("lat"), F.coalesce("transformed_longitude", "longitude").alias("lon"))
     first = lambda c: F.first_value(c, ignoreNulls=F.lit(True)).alias(c)
     sectioned = points if "section" in points.columns else points.withColumn("section", F.coalesce("heading", F.lit("")))
-    return sectioned.groupBy(*KEYS).agg(F.array_sort(F.collect_list(vertex)).alias("points"), F.min("seq").alias("first_seq"), *[first(c) for c in ("polygon_heading", "declared_ha", "projected_crs_epsg")])
+    return sectioned.groupBy(*KEYS).agg(F.array_sort(F.collect_list(vertex)).alias("points"), F.min("seq").alias("first_seq"), *[first(c) for c in ("polygon_heading", "declared_ha", "projected_crs_epsg")], *crs_aggregates())
 
 
 def double_area(points: Column) -> Column:
@@ -95,28 +98,60 @@ def as_array(points) -> np.ndarray:
     return np.array([[np.nan if v is None else v for v in r] for r in rows], np.float64).reshape(-1, 4)
 
 
+def vertex_arrays(points: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets of a batch's rings, the (y, x, lat, lon) of all vertices (null: NaN), and their names."""
+    offsets = np.concatenate(([0], np.cumsum(np.nan_to_num(np.asarray(points.value_lengths().fill_null(0)))))).astype(np.int64)
+    flat = points.flatten()
+    values = np.stack([np.asarray(flat.field(f).cast(pa.float64()).fill_null(np.nan)) for f in ("y", "x", "lat", "lon")], axis=1) if len(flat) else np.zeros((0, 4))
+    return offsets, values, flat.field("name")
+
+
 def repaired(rings: DataFrame) -> DataFrame:
-    """GEO-04..08: lattice trimmed, crossings repaired; a row per part (part_no), others as given."""
+    """GEO-04..08: lattice trimmed, crossings repaired; a row per part (part_no), others as given.
+
+    Vertices without a position are left out; a vertex that a repair makes is named X.
+    """
     ship(rings.sparkSession)
     fields = [c for c in rings.columns if c != "points"]
-    schema = rings.select(*fields, F.lit(0).alias("part_no"), F.lit(0).alias("crossings_before"), "points").schema
+    schema = rings.select(*fields, F.lit(0).alias("part_no"), F.lit(0).alias("crossings_before"), F.col("points").cast(f"array<{VERTEX}>")).schema
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                names = [p["name"] for p in row["points"]]
-                ring = as_array(row["points"])
-                ring = ring[~np.isnan(ring[:, :2]).any(1)] if len(ring) else ring
-                before = geometry.count_crossings(ring)
-                for k, part in enumerate(geometry.repair(geometry.trim_lattice(ring)) if len(ring) >= 3 else [ring]):
-                    known = {tuple(v[:2]): n for v, n in zip(as_array(row["points"]), names, strict=True)}
-                    vertices = [{"seq": i, "name": known.get(tuple(v[:2]), "X"), "y": v[0], "x": v[1], "lat": None if np.isnan(v[2]) else v[2], "lon": None if np.isnan(v[3]) else v[3]} for i, v in enumerate(part)]
-                    if vertices:
-                        out.append({**{f: row[f] for f in fields}, "part_no": k, "crossings_before": before, "points": vertices})
-            yield pd.DataFrame(out, columns=schema.names)
+    def parts_of(ring: np.ndarray) -> tuple[int, list[np.ndarray]]:
+        before = geometry.count_crossings(ring)
+        trimmed = geometry.trim_lattice(ring) if len(ring) >= 3 else ring
+        return before, [trimmed] if len(ring) < 3 or (not before and len(trimmed) == len(ring)) else geometry.repair(trimmed)
 
-    return rings.select(*fields, "points").mapInPandas(run, schema)
+    def run(batches):
+        for batch in batches:
+            offsets, values, names = vertex_arrays(batch.column(len(fields)))
+            rows, numbers, before, sizes, where, out = [], [], [], [], [], [np.zeros((0, 4))]
+            for i in range(batch.num_rows):
+                at = np.arange(offsets[i], offsets[i + 1])
+                at = at[~np.isnan(values[at, :2]).any(1)]
+                crossed, parts = parts_of(values[at])
+                known = None
+                for k, part in enumerate(parts):
+                    if not len(part):
+                        continue
+                    if part.shape == (len(at), 4) and np.array_equal(part, values[at], equal_nan=True):
+                        where.append(at)
+                    else:
+                        known = known or {tuple(v): j for v, j in zip(values[at, :2], at, strict=True)}
+                        where.append(np.array([known.get(tuple(v), -1) for v in part[:, :2]]))
+                        part = np.hstack([part, np.full((len(part), 4 - part.shape[1]), np.nan)])
+                    rows.append(i)
+                    numbers.append(k)
+                    before.append(crossed)
+                    sizes.append(len(part))
+                    out.append(part)
+            flat, index = np.concatenate(out), np.concatenate([np.zeros(0, np.int64), *where])
+            named = names.take(pa.array(np.where(index < 0, 0, index), mask=index < 0)).cast(pa.string()) if len(names) else pa.nulls(len(index), pa.string())
+            seq = np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in sizes)])
+            cells = [pa.array(seq, pa.int32()), pa.compute.if_else(pa.array(index < 0), "X", named), *(pa.array(flat[:, j], from_pandas=True) for j in range(4))]
+            points = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.StructArray.from_arrays(cells, ["seq", "name", "y", "x", "lat", "lon"]))
+            kept = batch.select(range(len(fields))).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int32()), pa.array(before, pa.int32()), points], names=schema.names)
+
+    return rings.select(*fields, "points").mapInArrow(run, schema)
 
 
 def without_subsets(rings: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.operators import documents, gate, metadata, points, rings
-from terrasift.operators.classify import inherited
+from terrasift.operators.classify import inherited, prioritised
+from terrasift.session import stored
 
 
 @dataclass
@@ -32,18 +33,21 @@ class Project:
         return out.na.fill(0)
 
 
-def run(pages: DataFrame, paths: DataFrame | None = None) -> Project:
+def run(pages: DataFrame, paths: DataFrame | None = None, scopes: DataFrame | None = None) -> Project:
     """ORC-01, ORC-05: every stage over every document of the pages table.
 
-    One shuffle by document feeds the scan; later keys all begin with doc_id.
+    One shuffle by document feeds the scan, which runs once; later keys all begin with doc_id.
+    What several stages read is written to the shared folder.  ``scopes`` (page, y, x, area_type)
+    are the merged cells of page layouts, whose types go before those of the headings.
     """
     pages = pages.withColumn("doc_id", F.col("doc_id").cast("string"))
-    found = points.table_crs(inherited(documents.tables(pages)))
-    found = points.observation_identity(found).persist()
-    parsed = points.transformed(documents.points(pages), found)
+    scan = stored(documents.scanned(pages))
+    found = stored(points.observation_identity(points.table_crs(prioritised(inherited(documents.tables(scan))))))
+    parsed = points.attested(points.transformed(documents.points(scan), found))
     unique = points.first_of(parsed, ["doc_id", "table_index", "polygon_group", "label", "utm_y", "utm_x", "latitude", "longitude"], ["seq"])
-    marked = points.with_declared(points.with_conflicts(unique)).persist()
-    built = gate.annotated(rings.build(marked)).persist()
+    typed = unique if scopes is None else points.scoped_types(unique, scopes)
+    marked = stored(points.with_declared(points.with_conflicts(typed)))
+    built = stored(gate.annotated(rings.build(marked)))
     cover = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda s: F.coalesce(s["text"], F.lit(""))), "\n").alias("text"))
     meta = metadata.extract(cover.withColumn("path", F.lit(None).cast("string")) if paths is None else cover.join(paths, "doc_id", "left"))
     why = gate.reasons(built, meta)

@@ -1,12 +1,13 @@
-"""What every operator with Python workers needs: the package on the executors."""
+"""What operators need of a session: the package on the executors, and a shared folder for what is reused."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +24,21 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(home.parent))
     sc.addPyFile(str(target))
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode where it is unset (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terrasift-"))
+    return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/terrasift-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
