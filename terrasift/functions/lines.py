@@ -87,3 +87,8 @@ def plausible_licence(value: Column, strong: bool) -> Column:
 def looks_like_company(value: Column) -> Column:
     """PR-13."""
     return F.coalesce(fold(value).rlike(r"\b(?:A\.?S\.?|LTD|STI|SANAYI|TICARET|MADENCILIK|INSAAT|HOLDING|ANONIM|LIMITED)\b"), F.lit(False))
+
+
+def looks_like_heading(value: Column) -> Column:
+    """PR-13: a line of a cover's title rather than of a company's name; null is one."""
+    return F.coalesce(fold(value).rlike(r"\b(?:CED|CEVRESEL|ETKI|DEGERLENDIRME|PROJE|RAPOR|RAPORU|DOSYA|DOSYASI|BAKANLIGI|MUDURLUGU|VALILIGI|KAPASITE|RUHSAT)\b|^[0-9\W]*$"), F.lit(True))

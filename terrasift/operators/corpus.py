@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.session import stored
+
 # Routing classes, speed classes and thresholds.
 PREFLIGHT = ("FAST_TEXT_LIKELY", "SELECTIVE_OCR_CANDIDATE", "SCAN_OR_HEAVY_FALLBACK_RISK", "WIDER_DISCOVERY_NEEDED", "UNCERTAIN")
 STRONG_TARGET_SCORE, MIN_TEXT_CHARACTERS = 70, 50
@@ -79,22 +81,38 @@ def seeded_sample(records: DataFrame, quotas: DataFrame, cell: list[str], path:
 
 
 def balanced_pilot(records: DataFrame, size: int, kind: str, province: str, path: str, kinds: tuple[str, str]) -> DataFrame:
-    """TOP-03: half of each kind, provinces in turn by the hash of the path, leftovers by hash."""
-    digest = F.sha2(F.col(path).cast("string"), 256)
-    round_no = F.row_number().over(Window.partitionBy(kind, province).orderBy("_h"))
-    turns = records.withColumn("_h", digest).withColumn("_round", round_no)
-    turn = F.row_number().over(Window.partitionBy(kind).orderBy("_round", province))
-    quota = F.when(F.col(kind) == kinds[0], size // 2).when(F.col(kind) == kinds[1], size - size // 2).otherwise(0)
-    ranked = turns.withColumn("_turn", turn).withColumn("_in", F.col("_turn") <= quota)
-    order = F.row_number().over(Window.orderBy(F.col("_in").desc(), "_h"))
-    return ranked.withColumn("_order", order).where(F.col("_order") <= size).drop("_h", "_round", "_turn", "_in", "_order")
+    """TOP-03: half of each kind, provinces in turn by the hash of the path, leftovers by hash.
+
+    Only the first ``size`` rows of a kind and province can count, which the engine keeps before it
+    shuffles; the chosen ones are at most ``size`` rows, so they may be broadcast.
+    """
+    hashed = records.withColumn("_h", F.sha2(F.col(path).cast("string"), 256))
+    rounds = hashed.select(kind, province, path, "_h", F.row_number().over(Window.partitionBy(kind, province).orderBy("_h")).alias("_round")).where(F.col("_round") <= size)
+    chosen = None
+    for name, quota in zip(kinds, (size // 2, size - size // 2), strict=True):
+        part = rounds.where(F.col(kind) == name).orderBy("_round", province).limit(quota).select(F.col(path).alias("_path"))
+        chosen = part if chosen is None else chosen.union(part)
+    marked = hashed.join(F.broadcast(chosen.distinct()), F.col(path) == F.col("_path"), "left")
+    return marked.orderBy(F.col("_path").isNull(), "_h").limit(size).drop("_h", "_path")
+
+
+def numbered(records: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
+    """Each row's place in the order over all rows, from 0: positions in ranges of the order, and the
+    sizes of the ranges before (a row for each range)."""
+    placed = records.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_part", "_before")
 
 
 def systematic(records: DataFrame, size: int, order: list[str]) -> DataFrame:
     """TOP-07: every k-th row of the order, k = rows // size (one at least), cut at size."""
-    total = F.count("*").over(Window.partitionBy())
-    ranked = records.withColumn("_rn", F.row_number().over(Window.orderBy(*order))).withColumn("_k", F.greatest(F.floor(total / size), F.lit(1)))
-    return ranked.where((F.pmod(F.col("_rn") - 1, F.col("_k")) == 0) & (F.floor((F.col("_rn") - 1) / F.col("_k")) < size)).drop("_rn", "_k")
+    step = max(1, records.count() // size)
+    ranked = numbered(records, order, "_rn")
+    return ranked.where((F.pmod(F.col("_rn"), F.lit(step)) == 0) & (F.col("_rn") < step * size)).drop("_rn")
 
 
 def projection(population: DataFrame, sample: DataFrame, cell: list[str], hit: Column) -> DataFrame:
@@ -124,10 +142,15 @@ def unfinished(records: DataFrame, results: DataFrame, identity: list[str]) -> D
 
 
 def snapshot(points: DataFrame, keys: list[str], token: str, epsg: str, confidence: str, conflict: str) -> DataFrame:
-    """AGG-08: counts, unique and strong tokens and a fingerprint of a document's geometry."""
-    strong = F.when(F.col(epsg).isNotNull() & (F.col(confidence) == "HIGH") & ~F.col(conflict), F.col(token))
-    tokens = F.array_sort(F.collect_set(token))
-    return points.groupBy(*keys).agg(F.count("*").alias("points"), F.count_distinct(token).alias("unique_tokens"), F.count_distinct(strong).alias("strong_tokens"), F.sha2(F.array_join(tokens, "\n"), 256).alias("fingerprint"), tokens.alias("tokens"))
+    """AGG-08: counts, unique and strong tokens and a fingerprint of a document's geometry.
+
+    Rows are counted by token first, so no distinct count has to expand them.
+    """
+    strong = F.coalesce(F.col(epsg).isNotNull() & (F.col(confidence) == "HIGH") & ~F.col(conflict), F.lit(False))
+    each = points.groupBy(*keys, token).agg(F.count("*").alias("_n"), F.bool_or(strong).alias("_strong"))
+    tokens = F.array_sort(F.collect_list(token))
+    known = F.col(token).isNotNull()
+    return each.groupBy(*keys).agg(F.sum("_n").alias("points"), F.count_if(known).alias("unique_tokens"), F.count_if(known & F.col("_strong")).alias("strong_tokens"), F.sha2(F.array_join(tokens, "\n"), 256).alias("fingerprint"), tokens.alias("tokens"))
 
 
 def token_provenance(points: DataFrame, token: str, confidence: str, identity: str, conflict: str) -> DataFrame:

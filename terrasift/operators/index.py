@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.functions.lines import INDEX_HEADING, TOC_HEADING, UNRELATED
+from terrasift.functions.lines import COORDINATE_WORD, INDEX_HEADING, NON_AREA, TOC_HEADING, UNRELATED
 from terrasift.functions.text import fold
 
 ENTRY = r"(?iu)^\s*(tablo|çizelge|cizelge|table)\s*([0-9IVX]+(?:[.\-,][0-9]+)*)\.?\s*[:\-–]?\s*(.*?)[\s.…]*([0-9]+(?:[-/][0-9]+)?)?\s*$"
+#: Pages at a document's front that are searched for an index.
+INDEX_PAGES = 40
 PAGE_ONLY = r"^\s*([0-9]{1,4})\s*$"
 
 
@@ -27,13 +29,66 @@ def entries(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", text:
 
 def nearest_page(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     """JN-05: of the pages that contain an entry's number or title the best: both before title before
-    number, then the nearest to the printed page, then the first."""
-    e, p = wanted.alias("e"), pages.alias("p")
-    number, title = F.contains(F.col("p.text"), F.col("e.table_no")), F.contains(F.upper("p.text"), F.upper("e.title")) & (F.col("e.title") != "")
-    met = e.join(p, (F.col("e.doc_id") == F.col("p.doc_id")) & (number | title))
-    rank = F.when(number & title, 0).when(title, 1).otherwise(2)
-    order = Window.partitionBy("e.doc_id", "e.table_no", "e.title").orderBy(rank, F.abs(F.col("p.page_no") - F.coalesce(F.col("e.printed_page"), F.col("p.page_no"))), "p.page_no")
-    return met.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("e.doc_id", "e.table_no", "e.title", "e.printed_page", F.col("p.page_no").alias("physical_page"))
+    number, then the nearest to the printed page, then the first.
+
+    Pages are cut into the numbers and lines that they hold, so entries find them by equal keys: the
+    number, or the folded title as a line or a part of one up to its page leaders.
+    """
+    lines = pages.select("doc_id", "page_no", F.explode(F.split("text", r"\r?\n")).alias("line"))
+    caption = F.regexp_extract("line", ENTRY, 2) != ""
+    title = F.when(caption, F.regexp_extract("line", ENTRY, 3)).otherwise(F.regexp_replace("line", r"[\s.…]*[0-9]*\s*$", ""))
+    keys = F.array(
+        F.struct(F.lit("number").alias("kind"), F.when(caption, F.translate(F.regexp_extract("line", ENTRY, 2), ",", ".")).alias("key")),
+        F.struct(F.lit("title").alias("kind"), fold(F.trim(title)).alias("key")),
+    )
+    held = lines.select("doc_id", "page_no", F.inline(keys)).where("key is not null and key <> ''").distinct()
+    entry = wanted.select("doc_id", "table_no", "title", "printed_page")
+    sought = entry.select("*", F.inline(F.array(F.struct(F.lit("number").alias("kind"), F.col("table_no").alias("key")), F.struct(F.lit("title").alias("kind"), fold(F.trim("title")).alias("key"))))).where("key <> ''")
+    met = sought.join(held, ["doc_id", "kind", "key"]).groupBy("doc_id", "table_no", "title", "printed_page", "page_no").agg(F.collect_set("kind").alias("kinds"))
+    rank = F.when(F.size("kinds") == 2, 0).when(F.array_contains("kinds", "title"), 1).otherwise(2)
+    far = F.abs(F.col("page_no") - F.coalesce(F.col("printed_page"), F.col("page_no")))
+    best = met.groupBy("doc_id", "table_no", "title", "printed_page").agg(F.min(F.struct(rank.alias("rank"), far.alias("far"), "page_no")).alias("best"))
+    return best.select("doc_id", "table_no", "title", "printed_page", F.col("best.page_no").alias("physical_page"))
+
+
+def plan(pages: DataFrame, index_pages: int = INDEX_PAGES) -> DataFrame:
+    """ORC-04: the pages of each document that its index of tables leads to, (doc_id, page_no, reason).
+
+    Entries of the first ``index_pages`` pages that name a coordinate table are resolved on the pages after
+    the index, unresolved ones by the median offset of the others, and each page brings its neighbourhood.
+    Documents without such entries give the pages that score best, ``targets`` of them at most.
+    """
+    front = pages.where(F.col("page_no") <= index_pages)
+    rows = front.select("doc_id", "page_no", F.posexplode(F.split("text", r"\r?\n")).alias("i", "text")).withColumn("line_no", F.struct("page_no", "i"))
+    listed = entries(rows).where("in_index").select("doc_id", "line_no", "table_no", "title", "printed_page")
+    up = fold(F.col("title"))
+    wanted = listed.where(up.rlike(COORDINATE_WORD) & ~up.rlike(NON_AREA))
+    last = listed.groupBy("doc_id").agg(F.max("line_no.page_no").alias("_last"))
+    body = pages.join(last, "doc_id").where(F.col("page_no") > F.col("_last")).drop("_last")
+    resolved = wanted.select("doc_id", "table_no", "title", "printed_page").distinct().join(nearest_page(wanted, body), ["doc_id", "table_no", "title", "printed_page"], "left")
+    found = offset_filled(resolved, ["doc_id"]).where("page_guess is not null").select("doc_id", F.col("page_guess").alias("page_no"))
+    counts = pages.groupBy("doc_id").agg(F.max("page_no").alias("_n"))
+    led = expanded(found.join(counts, "doc_id"), "page_no", "_n").withColumn("reason", F.lit("INDEX"))
+    rest = pages.join(led, "doc_id", "left_anti").withColumn("score", page_score(F.col("text")))
+    scored = expanded(targets(rest).select("doc_id", "page_no").join(counts, "doc_id"), "page_no", "_n").withColumn("reason", F.lit("SCORE"))
+    return led.select("doc_id", "page_no", "reason").unionByName(scored.select("doc_id", "page_no", "reason"))
+
+
+def analysis(pages: DataFrame, index_pages: int = INDEX_PAGES) -> DataFrame:
+    """ORC-09: one row on how useful indexes are: documents, those with an index, with coordinate entries, with
+    resolved ones, and the recommended way to find pages."""
+    front = pages.where(F.col("page_no") <= index_pages)
+    rows = front.select("doc_id", "page_no", F.posexplode(F.split("text", r"\r?\n")).alias("i", "text")).withColumn("line_no", F.struct("page_no", "i"))
+    listed = entries(rows).where("in_index")
+    wanted = listed.where(fold(F.col("title")).rlike(COORDINATE_WORD))
+    resolved = nearest_page(wanted, pages.join(listed.groupBy("doc_id").agg(F.max("line_no.page_no").alias("_last")), "doc_id").where(F.col("page_no") > F.col("_last")))
+    mark = lambda df, name: df.select("doc_id").distinct().withColumn(name, F.lit(1))
+    out = pages.select("doc_id").distinct()
+    for df, name in ((listed, "with_index"), (wanted, "with_entries"), (resolved, "with_pages")):
+        out = out.join(mark(df, name), "doc_id", "left")
+    sums = out.agg(F.count("*").alias("documents"), *[F.count(c).alias(c) for c in ("with_index", "with_entries", "with_pages")])
+    share = F.col("with_pages") / F.greatest(F.col("documents"), F.lit(1))
+    return sums.withColumn("recommendation", F.when(share >= 0.5, "INDEX_FIRST").when(F.col("with_pages") > 0, "INDEX_THEN_SCORE").otherwise("SCORE_ONLY"))
 
 
 def offset_filled(resolved: DataFrame, keys: list[str], printed: str = "printed_page", physical: str = "physical_page") -> DataFrame:

@@ -6,6 +6,10 @@ semi-join on passing documents, and Spark's commit protocol leaves no partial ou
 
 from __future__ import annotations
 
+import os
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +60,27 @@ def export(rings: DataFrame, verdicts: DataFrame, reasons: DataFrame, target: st
     quarantine(verdicts, reasons).write.mode("overwrite").json(f"{target}/_Duzeltme")
 
 
+def write_files(texts: DataFrame, names: DataFrame, target: str) -> DataFrame:
+    """SNK-01: one ``.kml`` file for each document under a folder that all executors share, at its path in
+    ``names`` (doc_id, path); a file appears whole or not at all.  Returns (doc_id, path, bytes) as written."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = []
+            for path, text in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                file = os.path.join(target, *[p for p in path.split("/") if p not in ("", ".", "..")])
+                os.makedirs(os.path.dirname(file), exist_ok=True)
+                part = f"{file}.{uuid.uuid4().hex}.part"
+                with open(part, "w", encoding="utf-8") as out:
+                    sizes.append(out.write(text))
+                    out.flush()
+                    os.fsync(out.fileno())
+                os.replace(part, file)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "path", "chars"])
+
+    return texts.join(names, "doc_id").select("doc_id", "path", "kml").mapInArrow(run, "doc_id string, path string, chars long")
+
+
 def quarantine(verdicts: DataFrame, reasons: DataFrame) -> DataFrame:
     """SNK-05: what blocks each document, with a message."""
     rows = reasons.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("code", "table_title", "table_type"))).alias("reasons"))
@@ -74,10 +99,11 @@ def scanned(marks: DataFrame) -> DataFrame:
     return ends.select("ring_id", F.col("n").alias("vertices")).join(crossed, "ring_id", "left").na.fill(0, ["crossings"]).withColumn("empty", F.col("vertices") < 3)
 
 
-def table(df: DataFrame, path: str, kind: str = "json") -> None:
-    """SNK-07..09: JSON lines or CSV by the commit protocol; arrays and structs become JSON text in CSV."""
+def table(df: DataFrame, path: str, kind: str = "json", append: bool = False) -> None:
+    """SNK-07..09: JSON lines or CSV by the commit protocol, new or appended; arrays and structs become
+    JSON text in CSV."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    writer = (df.select(*flat) if kind == "csv" else df).write.mode("overwrite")
+    writer = (df.select(*flat) if kind == "csv" else df).write.mode("append" if append else "overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrasift.operators.corpus import snapshot_diff
 from terrasift.session import ship
 
 # Legal transitions.
@@ -66,14 +67,24 @@ def _fold(state: tuple, wanted: Iterator[str]) -> tuple:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """STR-02: the state of every job after all its events in the order of ``seq``."""
-    ship(events.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        return pd.DataFrame([(pdf["job_id"].iloc[0], *_fold((None, 0, 0, 0), iter(pdf["wanted"])))], columns=[c.split()[0] for c in STATE.split(", ")])
-
-    return events.select("job_id", "seq", "wanted").groupBy("job_id").applyInPandas(run, STATE)
+    """STR-02: the state of every job after all its events in the order of ``seq``, as a fold over a job's history."""
+
+    def step(state: Column, event: Column) -> Column:
+        now, wanted = state["status"], event["wanted"]
+        legal = now.isNull() & (wanted == "PENDING")
+        for before, after in TRANSITIONS.items():
+            legal = legal | ((now == before) & wanted.isin(*after)) if after else legal
+        ok = F.coalesce(legal, F.lit(False))
+        return F.struct(
+            F.when(ok, wanted).otherwise(now).alias("status"),
+            (state["attempts"] + (ok & (wanted == "IN_PROGRESS")).cast("int")).alias("attempts"),
+            (state["accepted"] + ok.cast("int")).alias("accepted"),
+            (state["rejected"] + (~ok).cast("int")).alias("rejected"),
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("status"), *[F.lit(0).alias(c) for c in ("attempts", "accepted", "rejected")])
+    history = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "wanted"))).alias("history"))
+    return history.select("job_id", F.aggregate("history", start, step).alias("s")).select(F.col("job_id").cast("string").alias("job_id"), "s.*")
 
 
 def stream(events: DataFrame) -> DataFrame:
@@ -101,6 +112,21 @@ def refine_batches(events: DataFrame, apply, checkpoint: str):
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def outcomes(claimed: DataFrame, primary: DataFrame, refined: DataFrame) -> DataFrame:
+    """STR-04: a worker's verdict on its claimed jobs: FAILED without a refined snapshot or when the file has
+    changed since it was queued, else COMPLETED with the class of the change (SET-01).
+
+    Snapshots: (job_id, tokens array, rings array); claimed jobs and refined snapshots carry ``identity``.
+    """
+    before = primary.select("job_id", F.col("tokens").alias("_pt"), F.col("rings").alias("_pr"))
+    after = refined.select("job_id", F.col("tokens").alias("_rt"), F.col("rings").alias("_rr"), F.col("identity").alias("_ri"))
+    joined = claimed.select("job_id", "identity").join(before, "job_id", "left").join(after, "job_id", "left")
+    none = F.array().cast("array<string>")
+    change = snapshot_diff(F.col("_pt"), F.col("_rt"), F.coalesce("_pr", none), F.coalesce("_rr", none))
+    reason = F.when(F.col("_rt").isNull(), "NO_RESULT").when(~F.col("_ri").eqNullSafe(F.col("identity")), "FILE_CHANGED")
+    return joined.select("job_id", F.when(reason.isNull(), "COMPLETED").otherwise("FAILED").alias("status"), F.coalesce(reason, change).alias("reason"))
+
+
 def province_states(provinces: DataFrame, attempts: DataFrame, retry_failed: bool = False) -> DataFrame:
     """STR-06: per province pending, completed, failed or in_progress from its last attempt, and what runs next."""
     last = Window.partitionBy("province").orderBy(F.col("seq").desc())
