@@ -38,20 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---- rings ------------------------------------------------------------------------------
 
-RING_VERTICES = 12
-_V = f"""v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+#: Events of a block; every run of so many events of a user is a ring of its own in the queries about repair.
+BLOCK = 12
+_V = """v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
   CAST(round(value * 100) AS BIGINT) AS y, CAST(floor(epoch(ts)) AS BIGINT) - 1704067200 AS x FROM events),
-w AS (SELECT user_id, i, y, x FROM v WHERE i < {RING_VERTICES}),
 e AS (SELECT user_id, i, count(*) OVER (PARTITION BY user_id) AS n, y AS y1, x AS x1,
   coalesce(lead(y) OVER (PARTITION BY user_id ORDER BY i), first_value(y) OVER (PARTITION BY user_id ORDER BY i)) AS y2,
-  coalesce(lead(x) OVER (PARTITION BY user_id ORDER BY i), first_value(x) OVER (PARTITION BY user_id ORDER BY i)) AS x2 FROM w)"""
+  coalesce(lead(x) OVER (PARTITION BY user_id ORDER BY i), first_value(x) OVER (PARTITION BY user_id ORDER BY i)) AS x2 FROM v)"""
+_BLOCKS = f"b AS (SELECT user_id * 1000 + i // {BLOCK} AS ring, i % {BLOCK} AS k, y, x FROM v)"
 
 
-def ring_vertices(spark: SparkSession, sf_dir: str, n: int = RING_VERTICES) -> DataFrame:
-    """Vertices of the ring of each user: the first events in time order, in whole numbers."""
+def ring_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of the ring of each user: all their events in time order, in whole numbers."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(order) - 1).alias("i"), F.round(F.col("value") * 100).cast("long").alias("y"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("x"))
-    return rows.where(F.col("i") < n)
+    return table(spark, sf_dir, "events").select("user_id", (F.row_number().over(order) - 1).alias("i"), F.round(F.col("value") * 100).cast("long").alias("y"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - 1704067200).alias("x"))
 
 
 def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,24 +86,30 @@ def q_ring_crossings(spark, sf_dir):
     return rings.crossing_pairs(ring_edges(spark, sf_dir), "user_id").groupBy("user_id").agg(F.count("*").alias("crossings"))
 
 
-def ring_rows(spark: SparkSession, sf_dir: str, n: int = RING_VERTICES) -> DataFrame:
-    """The same rings as rows with vertex arrays (metre magnitudes, so metre tolerances hold)."""
-    v = ring_vertices(spark, sf_dir, n)
+def ring_rows(spark: SparkSession, sf_dir: str, blocks: bool = False) -> DataFrame:
+    """The same rings as rows with vertex arrays (metre magnitudes, so metre tolerances hold); in ``blocks``
+    each run of a user's events is a ring."""
+    v = ring_vertices(spark, sf_dir)
+    name = F.col("user_id") * 1000 + F.floor(F.col("i") / BLOCK)
     vertex = F.struct(F.col("i").cast("int").alias("seq"), F.concat(F.lit("P"), F.col("i").cast("string")).alias("name"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    return v.groupBy("user_id").agg(F.array_sort(F.collect_list(vertex)).alias("points"))
+    return v.groupBy(name.alias("ring") if blocks else F.col("user_id")).agg(F.array_sort(F.collect_list(vertex)).alias("points"))
 
 
-@query("SELECT user_id, CAST(0 AS BIGINT) AS crossings_left FROM (SELECT DISTINCT user_id FROM events)")
+@query(f"WITH {_V}, {_BLOCKS} SELECT ring, CAST(0 AS BIGINT) AS crossings_left FROM (SELECT DISTINCT ring FROM b)")
 def q_ring_repair(spark, sf_dir):
-    """GEO-04..08 as an invariant: no part of a repaired ring has a crossing."""
-    parts = rings.repaired(ring_rows(spark, sf_dir)).withColumn("points", F.col("points"))
+    """GEO-03..08 as an invariant: no part of a repaired ring has a crossing."""
+    parts = rings.repaired(ring_rows(spark, sf_dir, blocks=True))
     again = rings.repaired(parts.drop("part_no", "crossings_before"))
-    return again.groupBy("user_id").agg(F.sum("crossings_before").cast("long").alias("crossings_left"))
+    return again.groupBy("ring").agg(F.sum("crossings_before").cast("long").alias("crossings_left"))
 
 
-@query()
+@query(f"""WITH {_V}, {_BLOCKS}, d AS (SELECT DISTINCT ring, y, x FROM b),
+p AS (SELECT a.ring, a.y AS ay, a.x AS ax, c.y AS cy, c.x AS cx FROM d a JOIN d c ON a.ring = c.ring AND (a.y <> c.y OR a.x <> c.x)),
+h AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM d r WHERE r.ring = p.ring AND ((cy - ay) * (r.x - ax) - (cx - ax) * (r.y - ay) < 0
+ OR ((cy - ay) * (r.x - ax) - (cx - ax) * (r.y - ay) = 0 AND NOT (r.y BETWEEN least(ay, cy) AND greatest(ay, cy) AND r.x BETWEEN least(ax, cx) AND greatest(ax, cx))))))
+SELECT n.ring, CAST(coalesce(abs(s.a), 0) AS BIGINT) AS double_area FROM (SELECT DISTINCT ring FROM b) n LEFT JOIN (SELECT ring, CASE WHEN count(*) > 2 THEN sum(ay * cx - cy * ax) END AS a FROM h GROUP BY ring) s ON s.ring = n.ring""")
 def q_ring_hull(spark, sf_dir):
-    """GEO-07: hull area of each ring beside the ring's own."""
+    """GEO-07: twice the hull area of each ring."""
     from terrasift.functions import geometry
     from terrasift.session import ship
 
@@ -111,68 +117,86 @@ def q_ring_hull(spark, sf_dir):
 
     def run(batches):
         for pdf in batches:
-            yield pdf[["user_id", "ring_area"]].assign(hull_area=[geometry.area(geometry.hull(rings.as_array(p))) for p in pdf["points"]])
+            yield pdf[["ring"]].assign(double_area=[round(2 * geometry.area(geometry.hull(rings.as_array(p)))) for p in pdf["points"]])
 
-    areas = ring_rows(spark, sf_dir).withColumn("ring_area", F.abs(rings.double_area(F.col("points"))) / 2)
-    return areas.mapInPandas(run, "user_id long, ring_area double, hull_area double")
+    return ring_rows(spark, sf_dir, blocks=True).mapInPandas(run, "ring long, double_area long")
 
 
-@query(f"WITH {_V} SELECT user_id, sha256(string_agg(t, ';' ORDER BY t)) AS geometry_key FROM (SELECT DISTINCT user_id, y || ',' || x AS t FROM w) GROUP BY user_id")
+@query(f"WITH {_V} SELECT user_id, sha256(string_agg(t, ';' ORDER BY t)) AS geometry_key FROM (SELECT DISTINCT user_id, printf('%.3f', CAST(y + 1000 AS DOUBLE)) || ',' || printf('%.3f', CAST(x + 1000 AS DOUBLE)) AS t FROM v) GROUP BY user_id")
 def q_ring_key(spark, sf_dir):
-    """GEO-10, FN-23: digest of a ring's sorted distinct vertices."""
-    tokens = F.array_sort(F.array_distinct(F.transform("points", lambda p: F.concat_ws(",", p["y"].cast("long").cast("string"), p["x"].cast("long").cast("string")))))
-    return ring_rows(spark, sf_dir).select("user_id", F.sha2(F.array_join(tokens, ";"), 256).alias("geometry_key"))
+    """GEO-10, FN-23: digest of a ring's sorted distinct vertices, moved off the range of degrees."""
+    moved = F.transform("points", lambda p: p.withField("y", p["y"] + 1000).withField("x", p["x"] + 1000))
+    return ring_rows(spark, sf_dir).select("user_id", text.identity(rings.geometry_key(moved)).alias("geometry_key"))
 
 
 @query("""WITH v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS t FROM events),
-w AS (SELECT * FROM v WHERE i <= 6), l AS (SELECT user_id, list(t ORDER BY i) AS f FROM w GROUP BY user_id),
+l AS (SELECT user_id, list(t ORDER BY i) AS f FROM v GROUP BY user_id),
 o AS (SELECT user_id, CASE WHEN len(f) > 1 AND f[1] = f[-1] THEN f[1:len(f) - 1] ELSE f END AS f FROM l),
 d AS (SELECT user_id, f AS r FROM o UNION ALL SELECT user_id, list_reverse(f) FROM o),
-s AS (SELECT user_id, list_concat(r[k:len(r)], r[1:k - 1]) AS z FROM d, (SELECT unnest(range(1, 7)) AS k) q WHERE k <= len(r))
+s AS (SELECT user_id, list_concat(r[k:len(r)], r[1:k - 1]) AS z FROM d, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS k) q)
 SELECT user_id, array_to_string(min(z), '|') AS canonical FROM s GROUP BY user_id""")
 def q_ring_canonical(spark, sf_dir):
     """GEO-11: least rotation over both directions."""
-    return ring_rows(spark, sf_dir, 6).select("user_id", F.array_join(rings.canonical(F.transform("points", lambda p: p["y"].cast("long").cast("string"))), "|").alias("canonical"))
+    return ring_rows(spark, sf_dir).select("user_id", F.array_join(rings.canonical(F.transform("points", lambda p: p["y"].cast("long").cast("string"))), "|").alias("canonical"))
 
 
-@query()
+@query(f"""WITH {_V}, {_BLOCKS}, l AS (SELECT ring, list([[y, x * 0]] ORDER BY k) AS f FROM b GROUP BY ring),
+c AS (SELECT ring, list_reduce(f, lambda a, p: CASE WHEN abs(a[len(a)][1] - p[1][1]) <= 500 THEN a ELSE list_concat(a, p) END) AS g FROM l)
+SELECT ring, CAST(CASE WHEN len(g) > 1 AND abs(g[1][1] - g[len(g)][1]) <= 500 THEN len(g) - 1 ELSE len(g) END AS BIGINT) AS kept FROM c""")
 def q_collapse(spark, sf_dir):
-    """WIN-08: a fold that compares each value with the last one kept."""
-    step = lambda kept, v: F.when(F.size(kept) == 0, F.array(v)).when(F.abs(F.element_at(kept, -1) - v) <= 500, kept).otherwise(F.concat(kept, F.array(v)))
-    kept = F.aggregate(F.transform("points", lambda p: p["y"].cast("long")), F.array().cast("array<bigint>"), step)
-    return ring_rows(spark, sf_dir).select("user_id", F.array_join(F.transform(kept, lambda v: v.cast("string")), ",").alias("kept"))
+    """WIN-08: vertices that are left when each is compared with the last one kept, values alone being the place."""
+    from terrasift.functions import geometry
+    from terrasift.session import ship
+
+    ship(spark)
+
+    def run(batches):
+        for pdf in batches:
+            flat = [rings.as_array(p) * [1, 0, 1, 1] for p in pdf["points"]]
+            yield pdf[["ring"]].assign(kept=[len(geometry.collapse(r, 500.0)) for r in flat])
 
+    return ring_rows(spark, sf_dir, blocks=True).mapInPandas(run, "ring long, kept long")
 
-@query()
+
+@query("SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN 4 ELSE 0 END AS BIGINT) AS kept FROM nation")
 def q_lattice(spark, sf_dir):
-    """GEO-08 on suppliers laid on a 500 m grid: bare grids go, so nothing is left of full ones."""
-    k = F.col("s_suppkey")
-    vertex = F.struct(k.cast("int").alias("seq"), k.cast("string").alias("name"), (500000.0 + 500 * (k % 5)).alias("y"), (4300000.0 + 500 * (F.floor(k / 5) % 5)).alias("x"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    grid = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(vertex)).alias("points"))
-    left = rings.repaired(grid).groupBy("s_nationkey").agg(F.sum(F.size("points")).alias("n"))
-    return grid.select("s_nationkey", F.size("points").alias("given")).join(left, "s_nationkey", "left").select("s_nationkey", "given", F.coalesce("n", F.lit(0)).alias("kept"))
+    """GEO-08: a full grid of nine for each nation, beside a square of 40 metres for every other one: of those
+    the square is left, of the others nothing."""
+    k = F.col("n_nationkey")
+    place = lambda y, x: F.struct(F.lit(0).alias("seq"), F.lit("v").alias("name"), (y + k * 1000.0).alias("y"), x.alias("x"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    grid = [place(F.lit(500000.0 + 500 * i), F.lit(4300000.0 + 500 * j)) for i in range(3) for j in range(3)]
+    square = [place(F.lit(500111.0 + dy), F.lit(4300222.0 + dx)) for dy, dx in ((0, 0), (40, 0), (40, 40), (0, 40))]
+    found = table(spark, sf_dir, "nation").select("n_nationkey", F.when(k % 2 == 0, F.array(*grid, *square)).otherwise(F.array(*grid)).alias("points"))
+    left = rings.repaired(found).groupBy("n_nationkey").agg(F.sum(F.size("points")).alias("n"))
+    return found.select("n_nationkey").join(left, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).cast("long").alias("kept"))
 
 
-@query("""WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_orderkey)
-SELECT a.k AS small_key, min(b.k) AS big_key FROM s a, s b, LATERAL (SELECT 1) z WHERE list_contains(b.p, a.p[1]) AND len(b.p) > len(a.p) AND list_has_all(b.p, a.p) GROUP BY a.k""")
+@query("""WITH s AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_orderkey),
+i AS (SELECT k, p, unnest(p) AS v FROM s)
+SELECT a.k AS kept FROM s a WHERE NOT EXISTS (SELECT 1 FROM i b WHERE b.v = a.p[1] AND b.k <> a.k AND list_has_all(b.p, a.p) AND (len(b.p) > len(a.p) OR b.k < a.k))""")
 def q_subset_rings(spark, sf_dir):
-    """SET-03: orders whose parts are a strict subset of another order's."""
-    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
-    small = sets.select(F.col("k").alias("small_key"), F.col("p").alias("ps"), F.element_at("p", 1).alias("v"))
-    big = sets.select(F.col("k").alias("b"), F.col("p").alias("pb"), F.explode("p").alias("v"))
-    return small.join(big, "v").where((F.size("pb") > F.size("ps")) & (F.size(F.array_except("ps", "pb")) == 0)).groupBy("small_key").agg(F.min("b").alias("big_key"))
+    """SET-03: orders as rings whose vertices are their parts: what is no subset of another, and the first of equals."""
+    vertex = F.struct(F.lit(0).alias("seq"), F.lit("v").alias("name"), (F.col("l_partkey") * 1.0).alias("y"), F.lit(4300000.0).alias("x"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(vertex).alias("points"))
+    as_rings = found.select("points", F.lit("d").alias("doc_id"), F.lit("t").alias("table_type"), F.lit("").alias("section"), F.lit(1).alias("table_index"), F.col("l_orderkey").cast("string").alias("polygon_group"), F.lit(0).alias("part_no"), F.col("l_orderkey").alias("first_seq"))
+    return rings.without_subsets(as_rings).select(F.col("first_seq").alias("kept"))
 
 
-@query(f"WITH {_V} SELECT user_id, CASE WHEN max(n) < 3 OR (user_id % 2 = 0 AND abs(sum(y1 * x2 - y2 * x1)) > 10000) THEN 'POINT' ELSE 'POLYGON' END AS geometry_type FROM e GROUP BY user_id")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 OR (s_suppkey % 2 = 0 AND s_suppkey % 5 > 1) THEN 'POINT' ELSE 'POLYGON' END AS geometry_type FROM supplier")
 def q_pin_rule(spark, sf_dir):
-    """GEO-14: even users stand for galleries."""
-    area = q_ring_area(spark, sf_dir)
-    return area.select("user_id", F.when((F.col("vertices") < 3) | ((F.col("user_id") % 2 == 0) & (F.col("double_area") > 2 * rings.PIN_LIMIT_M2)), "POINT").otherwise("POLYGON").alias("geometry_type"))
+    """GEO-09, GEO-14: two points, galleries of even suppliers with sides from 40 to 160 metres, other squares."""
+    k = F.col("s_suppkey")
+    side = F.when(k % 5 > 1, 160.0).otherwise(40.0)
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), (500000.0 + dy * side).alias("utm_y"), (4300000.0 + dx * side).alias("utm_x")) for i, (dy, dx) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]))
+    rows = table(spark, sf_dir, "supplier").select(k, F.when(k % 2 == 0, "GALERI_ALANI").otherwise("OCAK_ALANI").alias("table_type"), corners.alias("v")).select("*", "v.*").where(~((k % 3 == 0) & (F.col("seq") > 1)))
+    empty = {c: F.lit(None).cast("double") for c in ("latitude", "longitude", "transformed_latitude", "transformed_longitude", "declared_ha")}
+    made = rows.withColumns({"doc_id": k.cast("string"), "table_index": F.lit(1), "polygon_group": F.lit("DEFAULT"), "polygon_heading": F.lit(""), "section": F.lit(""), "label": F.lit("P"), "projected_crs_epsg": F.lit(23036), "crs_conflict": F.lit(False), "crs_confidence": F.lit("HIGH"), **empty})
+    return rings.build(made).select(F.col("doc_id").cast("long").alias("s_suppkey"), "geometry_type")
 
 
-@query()
+@query("SELECT DISTINCT user_id, true AS near, false AS far FROM events")
 def q_geom_near(spark, sf_dir):
-    """GEO-13: each ring against itself moved by 0.5 and by 2 metres."""
+    """GEO-01, GEO-13: each ring against itself moved by half a metre and by two."""
     from terrasift.functions import geometry
     from terrasift.session import ship
 
@@ -207,24 +231,32 @@ def q_sanity(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", code.alias("code"))
 
 
+def gate_rings(rows: DataFrame, doc, kind, east) -> DataFrame:
+    """Rings of 200 metres as the gate gets them: of a document, type and easting (columns of ``rows``)."""
+    corners = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit("P").alias("name"), (east + dy * 200.0).alias("y"), F.lit(4300000.0 + dx * 200).alias("x"), F.lit(39.0).alias("lat"), F.lit(33.0).alias("lon")) for i, (dy, dx) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    return rows.select(doc.cast("string").alias("doc_id"), kind.alias("table_type"), corners.alias("points"), F.lit("POLYGON").alias("geometry_type"), F.lit(None).cast("double").alias("declared_ha"), F.lit(4.0).alias("area_ha"), F.lit("").alias("polygon_heading"), F.lit("").alias("section"), F.lit("DEFAULT").alias("polygon_group"), F.lit(1).alias("table_index"))
+
+
 @query("""WITH c AS (SELECT o_custkey, bool_or(o_orderpriority = '1-URGENT') AS l, bool_or(o_orderpriority = '5-LOW') AS d FROM orders GROUP BY o_custkey)
-SELECT c_custkey, NOT coalesce(l AND d, false) AS missing FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
+SELECT c_custkey FROM customer LEFT JOIN c ON o_custkey = c_custkey WHERE NOT coalesce(l AND d, false)""")
 def q_layer_gate(spark, sf_dir):
-    """QA-04: customers without both an urgent and a low order, those without orders included."""
-    has = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("l"), F.bool_or(F.col("o_orderpriority") == "5-LOW").alias("d"))
-    return table(spark, sf_dir, "customer").join(has, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", (~F.coalesce(F.col("l") & F.col("d"), F.lit(False))).alias("missing"))
+    """QA-04: orders as rings of customers, urgent ones licences and low ones CED areas; who lacks a layer."""
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "RUHSAT_ALANI").when(F.col("o_orderpriority") == "5-LOW", "CED_ALANI").otherwise("STOK_ALANI")
+    found = gate_rings(table(spark, sf_dir, "orders"), F.col("o_custkey"), kind, F.col("o_orderkey") * 1.0 + 200000)
+    documents_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.lit("Bilinmiyor").alias("province"))
+    return gate.reasons(gate.annotated(found), documents_).where("code = 'MISSING_RUHSAT_OR_CED'").select(F.col("doc_id").cast("long").alias("c_custkey"))
 
 
 @query("""WITH k AS (SELECT s_suppkey, s_nationkey % 4 AS kind, CAST(floor(s_acctbal / 500) AS BIGINT) AS key FROM supplier)
 SELECT s_suppkey, kind = 0 AND max(CASE WHEN kind <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AS suppressed,
  kind IN (1, 2) AND max(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AND max(CASE WHEN kind = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY key) = 1 AS silent FROM k""")
 def q_identical_ring(spark, sf_dir):
-    """QA-03: equal geometry keys (here balances); kind 0 is untyped, 1 licence, 2 CED."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 4).alias("kind"), F.floor(F.col("s_acctbal") / 500).alias("key"))
-    same = Window.partitionBy("key")
-    has = lambda c: F.max(F.when(c, 1).otherwise(0)).over(same) == 1
-    kind = F.col("kind")
-    return rows.select("s_suppkey", ((kind == 0) & has(kind != 0)).alias("suppressed"), (kind.isin(1, 2) & has(kind == 1) & has(kind == 2)).alias("silent"))
+    """QA-03: suppliers of one document as rings whose place is their balance; untyped, licence, CED, stock."""
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("DIGER", "RUHSAT_ALANI", "CED_ALANI", "STOK_ALANI")]), (F.col("s_nationkey") % 4 + 1).cast("int"))
+    named = table(spark, sf_dir, "supplier").select("s_suppkey", kind.alias("table_type"), (F.floor(F.col("s_acctbal") / 500) * 1000.0 + 200000).alias("_east"))
+    found = gate_rings(named, F.lit("d"), F.col("table_type"), F.col("_east")).withColumn("_east", F.element_at("points", 1)["y"]).dropDuplicates(["table_type", "_east"])
+    judged = gate.annotated(found).select("table_type", "_east", "suppressed", "silent_duplicate")
+    return named.join(judged, ["table_type", "_east"]).select("s_suppkey", "suppressed", F.col("silent_duplicate").alias("silent"))
 
 
 @query("""WITH r AS (SELECT c_custkey, 'AREA_MISMATCH' AS code FROM customer WHERE c_acctbal < 0 UNION ALL SELECT c_custkey, 'CRS_AREA_INSANE' FROM customer WHERE c_acctbal > 9000 UNION ALL
@@ -264,11 +296,14 @@ def q_num_parse(spark, sf_dir):
     return written.select("l_orderkey", "l_linenumber", "written", F.round(numbers.parse_number(F.col("written")) * 100).cast("long").alias("cents"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS digit_runs, len(list_filter(regexp_extract_all(text, '[0-9]{6,7}'), lambda t: CAST(t AS BIGINT) BETWEEN 100000 AND 999999)) AS eastings FROM documents")
+@query("""SELECT o_orderkey, 'R' || o_orderkey || ' ' || (100000 + o_orderkey % 900000) || ',5 ' || (3000000 + o_custkey % 2000000) || ' ' || (o_orderkey % 100) AS line, CAST(4 AS INTEGER) AS numbers, 100000 + o_orderkey % 900000 + 0.5 AS easting FROM orders""")
 def q_num_tokens(spark, sf_dir):
-    """FN-03, FN-07, AGG-15: digit runs of documents and how many are legal eastings."""
-    runs = F.regexp_extract_all("text", F.lit("[0-9]{6,7}"), 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0)).alias("digit_runs"), F.size(F.filter(runs, lambda t: numbers.is_easting(t.cast("long")))).alias("eastings"))
+    """FN-03, FN-07: the numbers of generated rows, and the first of them that is an easting."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit("R"), k.cast("string"), F.lit(" "), (100000 + k % 900000).cast("string"), F.lit(",5 "), (3000000 + F.col("o_custkey") % 2000000).cast("string"), F.lit(" "), (k % 100).cast("string"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")).withColumn("v", numbers.number_tokens(F.col("line")))
+    east = F.filter(F.slice("v", 2, 3), numbers.is_easting)
+    return found.select("o_orderkey", "line", F.size("v").alias("numbers"), F.try_element_at(east, F.lit(1)).cast("decimal(10,1)").alias("easting"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, 100000 + o_orderkey % 900000 AS y, 3000000 + o_custkey % 2000000 AS x FROM orders)
@@ -296,10 +331,10 @@ def q_label_group(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", labels.group_from_label(label).alias("label_group"))
 
 
-@query(f"SELECT doc_id, translate(upper(replace(substr(text, 1, 400), 'ß', 'ss')), '{text.ACCENTED}', '{text.PLAIN}') AS folded FROM documents WHERE lang IN ('de', 'fr', 'es')")
+@query(f"SELECT doc_id, sha256(translate(upper(replace(text, 'ß', 'ss')), '{text.ACCENTED}', '{text.PLAIN}')) AS folded FROM documents WHERE text IS NOT NULL")
 def q_fold(spark, sf_dir):
-    """FN-15 on the first characters of documents with accents (the folded excerpt is the result)."""
-    return table(spark, sf_dir, "documents").where(F.col("lang").isin("de", "fr", "es")).select("doc_id", text.fold(F.substring("text", 1, 400)).alias("folded"))
+    """FN-15, FN-23: digests of the whole folded documents."""
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(text.fold(F.col("text")), 256).alias("folded"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, 'EPSG:23036|' || CAST(512000 + l_orderkey % 1000 AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '.5' END || '|' || CAST(4301000 + l_partkey % 1000 AS VARCHAR) AS token FROM lineitem""")
@@ -324,16 +359,11 @@ def q_sanitize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize(F.col("url")).alias("component"))
 
 
-@query("""SELECT doc_id, n AS digits_kept FROM (SELECT doc_id, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n, length(regexp_replace(text, '\\s', '', 'g')) AS shown FROM documents) WHERE shown >= 50""")
-def q_text_usable(spark, sf_dir):
-    """SRC-05: texts of enough visible characters, with the digits in them."""
-    shown = F.length(F.regexp_replace("text", r"\s", ""))
-    return table(spark, sf_dir, "documents").where(shown >= 50).select("doc_id", F.length(F.regexp_replace("text", "[^0-9]", "")).alias("digits_kept"))
-
-
-@query()
+@query(r"""WITH m AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, length(regexp_replace(t, '[\s\p{Z}]', '', 'g')) AS shown, length(t) AS n,
+length(t) - length(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) AS controls, length(regexp_replace(t, '[^\p{L}\p{Nd}]', '', 'g')) AS letters, len(regexp_extract_all(t, 'Ã.|Ä.|Å.|ï¿½|�')) AS broken FROM m)
+SELECT doc_id, shown >= 50 AND controls / greatest(n, 1) <= 0.01 AND letters / greatest(shown, 1) >= 0.45 AND broken < 2 AS usable FROM n""")
 def q_usable(spark, sf_dir):
-    """SRC-05 in full (its letter classes have no counterpart in the other engine)."""
+    """SRC-05 over whole documents."""
     return table(spark, sf_dir, "documents").select("doc_id", text.usable(F.col("text")).alias("usable"))
 
 
@@ -349,15 +379,6 @@ def q_lines(spark, sf_dir):
     return sources.lines(docs).select("doc_id", "line_no", "page_no", "text")
 
 
-@query("""WITH s AS (SELECT user_id, event_id, ts, value, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)
-SELECT user_id, island, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM s GROUP BY user_id, island""")
-def q_islands(spark, sf_dir):
-    """SEG-01's relational profile: an error opens a block."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = table(spark, sf_dir, "events").withColumn("island", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(order))
-    return marked.groupBy("user_id", "island").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-
-
 @query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT *, min(CASE WHEN event_type = 'error' THEN k END) OVER (PARTITION BY user_id) AS a FROM r),
 g AS (SELECT *, min(CASE WHEN event_type = 'purchase' AND k > a THEN k END) OVER (PARTITION BY user_id) AS b FROM f) SELECT user_id, k FROM g WHERE k >= a AND (b IS NULL OR k < b)""")
 def q_section_slice(spark, sf_dir):
@@ -366,16 +387,6 @@ def q_section_slice(spark, sf_dir):
     return index.section_span(rows, F.col("event_type") == "error", F.col("event_type") == "purchase", "user_id", "k").select("user_id", "k")
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS num, lag(l_partkey % 50) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS prev, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seen, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
-SELECT l_orderkey, min(l_linenumber) AS break_at FROM s WHERE num <= prev AND seen > 3 AND n - seen + 1 >= 3 GROUP BY l_orderkey""")
-def q_series_break(spark, sf_dir):
-    """WIN-02: the first place where a numbering stops rising, after more than three and before three."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    num = F.col("l_partkey") % 50
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", num.alias("num"), F.lag(num).over(order).alias("prev"), F.row_number().over(order).alias("seen"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
-    return rows.where("num <= prev and seen > 3 and n - seen + 1 >= 3").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("break_at"))
-
-
 @query("""WITH r AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href\\s*=\\s*"([^"]*)"', 1)) AS link FROM pages), d AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, replace(link, '&amp;', '&') AS link FROM r)
 SELECT DISTINCT page_id, CASE WHEN regexp_matches(link, '^https?://') THEN link WHEN starts_with(link, '/') THEN host || link ELSE host || '/' || link END AS link FROM d""")
 def q_html_links(spark, sf_dir):
@@ -446,22 +457,6 @@ def q_latest(spark, sf_dir):
     return points.latest_of(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id")
 
 
-@query("SELECT sha256(text) AS identity, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
-def q_dup_pairs(spark, sf_dir):
-    """JN-04, AGG-14 on exact content: one row per class of equal documents."""
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("identity")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-
-
-@query("""WITH e AS (SELECT user_id, event_id, event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events), m AS (SELECT a.event_id, b.event_id AS other, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.c - b.c), b.event_id) AS k FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'click')
-SELECT event_id, other FROM m WHERE k = 1""")
-def q_nearest(spark, sf_dir):
-    """JN-05: the click nearest in value to each purchase of a user."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("c"))
-    a, b = e.where("event_type = 'purchase'").alias("a"), e.where("event_type = 'click'").alias("b")
-    best = F.min_by(F.col("b.event_id"), F.struct(F.abs(F.col("a.c") - F.col("b.c")), F.col("b.event_id"))).alias("other")
-    return a.join(b, F.col("a.user_id") == F.col("b.user_id")).groupBy(F.col("a.event_id").alias("event_id")).agg(best)
-
-
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS cell_id, CAST(l_linenumber * 10 AS DOUBLE) AS y0, CAST(l_linenumber * 10 + 25 AS DOUBLE) AS y1 FROM lineitem), r AS (SELECT l_orderkey AS page, l_linenumber AS row_id, CAST(l_linenumber * 10 + 1 AS DOUBLE) AS y0, CAST(l_linenumber * 10 + 9 AS DOUBLE) AS y1 FROM lineitem)
 SELECT c.page, c.cell_id, r.row_id FROM c JOIN r ON r.page = c.page AND r.y0 >= c.y0 - 0.01 AND r.y1 <= c.y1 + 0.01""")
 def q_containment(spark, sf_dir):
@@ -473,12 +468,6 @@ def q_containment(spark, sf_dir):
     return points.covered_rows(cells, rows)
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
-def q_semi(spark, sf_dir):
-    """JN-03."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
-
-
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def q_anti(spark, sf_dir):
     """JN-03, ORC-07: resume."""
@@ -486,11 +475,11 @@ def q_anti(spark, sf_dir):
     return corpus.unfinished(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
 
 
-@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
-def q_left(spark, sf_dir):
-    """JN-01, JN-02."""
-    some = table(spark, sf_dir, "nation").where("n_regionkey < 3")
-    return table(spark, sf_dir, "customer").join(some, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+@query("""WITH c AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal < -900 GROUP BY c_nationkey) SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN c ON c_nationkey = n_nationkey""")
+def q_zero_filled(spark, sf_dir):
+    """AGG-07, JN-02: every nation, zero where no customer is that deep in debt."""
+    counted = table(spark, sf_dir, "customer").where("c_acctbal < -900").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return corpus.zero_filled(counted, table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
 
 
 @query("""WITH o AS (SELECT user_id, CAST(round(value) AS BIGINT) AS printed, CASE WHEN event_type = 'click' THEN CAST(round(value) AS BIGINT) + event_id % 7 END AS physical, event_id FROM events),
@@ -528,7 +517,8 @@ def q_targets(spark, sf_dir):
     return index.targets(rows, "user_id", "event_id").select("user_id", "event_id", "rank")
 
 
-@query()
+@query("""SELECT p_partkey AS doc_id, CAST(p_size AS VARCHAR) AS table_no, 'Stok Alanı' AS title, CAST(p_partkey AS INTEGER) AS printed_page, true AS in_index FROM part
+UNION ALL SELECT p_partkey, '99', 'ÇED Alanı Koordinatları', CAST(p_partkey + 1 AS INTEGER), true FROM part""")
 def q_index_parse(spark, sf_dir):
     """WIN-07 over an index generated from parts: an entry in two lines takes the next line's page."""
     k = F.col("p_partkey")
@@ -589,9 +579,11 @@ def q_alloc_remainder(spark, sf_dir):
     return corpus.largest_remainder(pop, 137, minimum_one=True)
 
 
-@query()
+@query(f"""WITH {_POP}, i AS (SELECT *, population * 100.0::DOUBLE / sum(population) OVER () AS ideal FROM p), q AS (SELECT *, CAST(floor(ideal + 0.5) AS BIGINT) AS q0 FROM i), o AS (SELECT *, CAST(100 - sum(q0) OVER () AS BIGINT) AS off FROM q),
+s AS (SELECT *, sign(off) AS st, unnest(range(greatest(abs(off), 1))) AS j FROM o WHERE off <> 0), r AS (SELECT *, row_number() OVER (ORDER BY (ideal - q0) * st - j DESC, key, j) AS k FROM s WHERE q0 + st * (j + 1) <= population AND q0 + st * (j + 1) >= 0),
+c AS (SELECT key, CAST(sum(st) AS BIGINT) AS change FROM r WHERE k <= abs(off) GROUP BY key) SELECT o.key, population, q0 + coalesce(change, 0) AS quota FROM o LEFT JOIN c ON c.key = o.key""")
 def q_alloc_nearest(spark, sf_dir):
-    """TOP-04: 500 seats by rounding and correction; they sum to 500."""
+    """TOP-04: 100 seats by rounding and correction; they sum to 100."""
     pop = table(spark, sf_dir, "customer").groupBy(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key")).agg(F.count("*").alias("population"))
     return corpus.nearest_allocation(pop, 100, minimum_one=False)
 
@@ -722,7 +714,8 @@ def q_export(spark, sf_dir):
     marks = kml.placemarks(gate.exportable(project.rings, project.gate))
     read = kml.scanned(marks).agg(F.sum("crossings").alias("c"))
     per = project.gate.join(marks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").groupBy((~F.col("ok")).alias("blocked")).agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("placemarks"))
-    return per.crossJoin(F.broadcast(read)).select("blocked", "documents", "placemarks", F.col("c").cast("long").alias("crossings"))
+    crossings = read.first()["c"] or 0
+    return per.select("blocked", "documents", "placemarks", F.lit(crossings).cast("long").alias("crossings"))
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'CRS_UNRESOLVED_NO_TRANSFORM' AS code, CAST(4 AS BIGINT) AS point_count FROM supplier""")
@@ -738,15 +731,19 @@ def q_report(spark, sf_dir):
     return kml.report(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("province"), F.when(F.col("s_suppkey") % 3 == 0, "HATA").otherwise("BASARILI").alias("status")))
 
 
-@query("""SELECT lower(substr(p_name, 1, 6)) AS title, count(*) AS count FROM part GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 30""")
+@query("""SELECT lower(p_name) AS title, count(*) AS count FROM part GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 30""")
 def q_vocabulary(spark, sf_dir):
     """AGG-16: a top-k report."""
-    return index.vocabulary(table(spark, sf_dir, "part").select(F.lower(F.substring("p_name", 1, 6)).alias("title")))
+    return index.vocabulary(table(spark, sf_dir, "part").select(F.lower("p_name").alias("title")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from terrasift.plans import reports  # noqa: F401 (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from terrasift.plans import reports  # noqa: F401
+
     return dict(ORACLES)
