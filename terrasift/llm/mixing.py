@@ -23,7 +23,8 @@ The default quality weight is lexical diversity: the share of distinct words, in
 Nulls, ties, repeats: a null text has size 0, a null id the key of the empty text; equal
 keys are ordered by id and size; repeated rows are documents of their own and
 share equally, in whole words, what the cut leaves for them.  An empty
-table, or one whose sizes are all 0, takes nothing.  Other columns pass through.
+table, or one whose sizes are all 0, takes nothing.  Other columns pass through; one named size,
+source_size, target or taken is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.common import shared_dir as prepare_folder
-from terrasift.llm.common import stored, words_column
+from terrasift.llm.common import fresh, stored, words_column
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -102,19 +103,21 @@ def mix(docs: DataFrame, size: Column, level: Column, weights=WEIGHTS, cap: int
     part = F.when((F.col("_key") < F.col("cut_key")) | first, F.col("_size")).when(at, F.col("cut_part")).otherwise(0)
     added = ("size", "source_size", "target", "taken")
     out = joined.withColumn("taken", (F.col("epochs") * F.col("_size") + part).cast("long"))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c not in added], F.col("_size").alias("size"), "source_size", "target", "taken")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c.lower() not in added], F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns, ``_size`` (words) and ``_level`` (diversity) of the whole text."""
-    words = docs.select(*[F.col(f"`{c}`") for c in keep], words_column(F.col("text")).alias("_words"))
-    return words.select(*[F.col(f"`{c}`") for c in keep], F.size("_words").cast("long").alias("_size"), diversity(F.col("_words")).alias("_level"))
+def measured(docs: DataFrame, *keep: str) -> tuple[DataFrame, Column, Column]:
+    """The kept columns beside two more, and these: size (words) and diversity of the whole text."""
+    held, size, level = (fresh(docs.columns, c) for c in ("_words", "_size", "_level"))
+    kept = [F.col(f"`{c}`") for c in keep]
+    words = docs.select(*kept, words_column(docs["text"]).alias(held))
+    return words.select(*kept, F.size(held).cast("long").alias(size), diversity(F.col(held)).alias(level)), F.col(size), F.col(level)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of all documents."""
-    rows = stored(measured(docs, "doc_id", "source"))
-    return mix(rows, F.col("_size"), F.col("_level")).select("doc_id", "size", "source_size", "target", "taken")
+    rows, size, level = measured(docs, "doc_id", "source")
+    return mix(stored(rows), size, level).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: The same by plain windows, for an engine that orders each source at once.

@@ -29,7 +29,7 @@ def test_against_sql(spark, tmp_path):
 def test_targets_and_repeats(spark):
     base = [(i, "a " * (1 + i % 9), "big" if i % 3 else "small") for i in range(90)]
     df = spark.createDataFrame(base + base[:30] + base[:30], "doc_id long, text string, source string")
-    out = mixing.mix(mixing.measured(df, "doc_id", "source"), F.col("_size"), F.col("_level")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") > 3 * F.col("size")).alias("over")).collect()
+    out = mixing.mix(*mixing.measured(df, "doc_id", "source")).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") > 3 * F.col("size")).alias("over")).collect()
     for r in out:
         assert abs(r["taken"] - r["target"]) <= 4 and not r["over"]
 
