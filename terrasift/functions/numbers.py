@@ -22,33 +22,26 @@ def cleaned(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(value.cast("string")), "^:+|:+$", ""))
 
 
+#: One decimal mark or none.
+SINGLE = r"^[+-]?(?:[0-9]+(?:[.,][0-9]*)?|[.,][0-9]+)$"
+#: Groups of three digits behind one and the same separator, and perhaps a fraction behind the other mark.
+GROUPED = r"^([+-]?[0-9]{1,3}([.,\s])[0-9]{3}(?:\2[0-9]{3})*)(?:(?!\2)[.,]([0-9]+))?$"
+
+
 def parse_number(value: Column) -> Column:
     """FN-01: a localized number as a double; a single ``ddd.ddd`` group is a decimal.
 
-    The separators between the digits tell the style.  One dot or comma is the decimal mark.
-    A mark that repeats, a blank, or a mark before another last one groups thousands: then
-    the first group has one to three digits and the others have three.
+    One dot or comma is the decimal mark.  A separator that repeats, a blank, or one before another
+    last mark groups thousands.
     """
     text = cleaned(value)
-    body = F.regexp_replace(text, "^[+-]", "")
-    marks = F.regexp_replace(F.regexp_replace(body, "[0-9]", ""), r"\s", " ")
-    parts = F.split(body, r"[.,\s]")
-    n, last = F.length(marks), F.right(marks, F.lit(1))
-    repeats = marks == F.repeat(F.left(marks, F.lit(1)), n)
-    leading = F.left(marks, n - 1) == F.repeat(F.left(marks, F.lit(1)), n - 1)
-    grouped = F.when(repeats & ((n > 1) | (marks == " ")), n + 1).when(~repeats & leading & (n > 1) & last.isin(".", ","), n)
-    groups = F.slice(parts, 1, F.coalesce(grouped, F.lit(1)))
-    sized = F.element_at(groups, 1).rlike("^[0-9]{1,3}$") & F.forall(F.slice(groups, 2, F.greatest(n, F.lit(1))), lambda g: F.length(g) == 3)
-    fraction = F.when(grouped == n + 1, "0").otherwise(F.element_at(parts, -1))
-    of_groups = F.concat(F.array_join(groups, ""), F.lit("."), fraction)
-    plain = F.array_join(parts, ".")
-    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    chosen = F.when(grouped.isNotNull(), F.when(sized & (fraction != ""), of_groups)).when((n == 0) | ((n == 1) & marks.isin(".", ",")), plain)
-    return sign * F.when(body.rlike("^[0-9.,\\s]*[0-9][0-9.,]*$"), chosen).try_cast("double")
+    whole = F.regexp_replace(F.regexp_extract(text, GROUPED, 1), "[^0-9+-]", "")
+    grouped = F.concat_ws(".", whole, F.nullif(F.regexp_extract(text, GROUPED, 3), F.lit("")))
+    return F.when(text.rlike(SINGLE), F.translate(text, ",", ".")).otherwise(F.nullif(grouped, F.lit(""))).try_cast("double")
 
 
 def number_of(token: str) -> float | None:
-    """The twin of ``parse_number`` inside the document scan."""
+    """The twin of ``parse_number`` inside the document scan, by the separators between the digits."""
     text = token.strip().strip(":").strip()
     body = text[1:] if text[:1] in ("+", "-") else text
     parts, marks = [""], ""
