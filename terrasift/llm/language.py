@@ -125,12 +125,17 @@ def learn(docs: DataFrame) -> tuple[list[str], str | None, np.ndarray]:
     placed = masks.select("code", "word", "mask").mapInArrow(place, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
     for row in placed.toLocalIterator(prefetchPartitions=True):
         slots[row["word"], row["slot"]] = row["mask"]
+    for kind in (np.uint8, np.uint16, np.uint32):  # no wider than the languages need: what is looked up stays in the cache
+        if len(names) <= 8 * np.dtype(kind).itemsize:
+            slots = slots.astype(kind)
+            break
     return names, max(sums, key=lambda x: x[1])[0], slots
 
 
 def corrected(hits: np.ndarray, n: np.ndarray, slots: np.ndarray, languages: int) -> np.ndarray:
     """Hits by text and language without what the filter's false positives add."""
-    fill = np.array([((slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean() for i in range(languages)])
+    one = slots.dtype.type(1)
+    fill = np.array([((slots[i // WORD] >> slots.dtype.type(i % WORD)) & one).mean() for i in range(languages)])
     false = fill**HASHES
     return np.maximum(0.0, (hits - n[:, None] * false) / np.maximum(1e-9, 1 - false))
 
@@ -146,7 +151,7 @@ def identified(texts: list[bytes], names: list[str], commonest: str | None, slot
         for a in at[1:]:
             mask = mask & slots[w][a]
         for i in range(w * WORD, min(len(names), (w + 1) * WORD)):
-            bit = (mask >> np.uint64(i % WORD)) & np.uint64(1)
+            bit = (mask >> mask.dtype.type(i % WORD)) & mask.dtype.type(1)
             hits[:, i] = np.bincount(owner, bit, len(texts))
     found = corrected(hits, np.bincount(owner, minlength=len(texts)), slots, len(names))
     total = found.sum(1)
