@@ -74,6 +74,16 @@ def unpack_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
 
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts of any size: one byte tells whether four or eight bytes hold each."""
+    kind = np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + pack(x.astype(kind))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], {4: np.uint32, 8: np.uint64}[data[0]]).astype(np.int64)
+
+
 def part_starts(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Where each hash range begins in sorted hashes; the last entry is their number."""
     edges = np.array([((1 << 64) * p) // parts for p in range(1, parts)], np.uint64)
@@ -198,8 +208,10 @@ def pairs_of(local: np.ndarray, counts: np.ndarray, start: int, size: int):
 
 
 def gathered(answers: list[dict], field: str, kind) -> np.ndarray:
-    found = [unpack(a[field], kind) for a in sorted(answers, key=lambda a: a["part"])]
-    return np.concatenate(found) if found else np.zeros(0, kind)
+    """A field of all parts' answers in their order; ``kind`` is what it is made of or what unpacks it."""
+    read = kind if callable(kind) and not isinstance(kind, type) else lambda data: unpack(data, kind)
+    found = [read(a[field]) for a in sorted(answers, key=lambda a: a["part"])]
+    return np.concatenate(found) if found else read(pack_counts(np.zeros(0)) if read is kind else pack(np.zeros(0, kind)))
 
 
 def ask_pairs(joined: DataFrame, parts: int) -> DataFrame:
@@ -230,7 +242,7 @@ def ask_pairs(joined: DataFrame, parts: int) -> DataFrame:
                         continue
                     x, y = edges[a], edges[b]
                     w = word[x:y]
-                    for column, value in zip(out, (p, row["batch"], pack_sorted(vocab[owners[a:b]]), pack(np.diff(edges[a : b + 1]).astype(np.uint32)), pack_planes(word_part[w]), pack_planes(word_rank[w]), pack(np.minimum(word_counts[word[x:y]], 0xFFFFFFFF).astype(np.uint32)), pack(pair_counts[x:y])), strict=True):
+                    for column, value in zip(out, (p, row["batch"], pack_sorted(vocab[owners[a:b]]), pack(np.diff(edges[a : b + 1]).astype(np.uint32)), pack_planes(word_part[w]), pack_planes(word_rank[w]), pack_counts(word_counts[word[x:y]]), pack(pair_counts[x:y])), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], names=["part", "batch", "contexts", "fanout", "word_part", "word_rank", "word_count", "pair_count"])
 
@@ -252,7 +264,7 @@ def answer_pairs(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
         _, first, where = np.unique(key, return_index=True, return_inverse=True)
         counts = np.bincount(where, np.concatenate([unpack(r["pair_count"], np.uint32) for r in rows])).astype(np.int64)
         owner = context[first]
-        mass = np.where(counts > 0, unigrams(np.concatenate([unpack(r["word_count"], np.uint32) for r in rows])[first].astype(np.int64)), 0.0)
+        mass = np.where(counts > 0, unigrams(np.concatenate([unpack_counts(r["word_count"]) for r in rows])[first]), 0.0)
         mass = np.bincount(owner, mass, len(names))
         rare = [np.bincount(owner[counts == r], minlength=len(names)).astype(np.uint32) for r in range(1, K + 1)]
         some_rare = sum(rare) > 0
@@ -263,7 +275,7 @@ def answer_pairs(requests: DataFrame, unigrams: Unigrams) -> DataFrame:
             own = where_context[a:b]
             found = counts[where[x:y]]
             backs_off = np.bincount(np.repeat(np.arange(b - a), f), found == 0, b - a) > 0  # only these need weights
-            answers[0].append(pack(found.astype(np.uint32)))
+            answers[0].append(pack_counts(found))
             answers[1].append(pack((some_rare[own] + 2 * backs_off).astype(np.uint8)))
             answers[2].append(pack(np.stack([r[own[backs_off]] for r in rare], axis=1).ravel()))
             answers[3].append(pack(mass[own[backs_off]]))
@@ -312,7 +324,7 @@ def scores(joined: DataFrame, unigrams: Unigrams, distinct: int, documents: int,
                 contexts, of = np.unique(context, return_inverse=True)
                 total = word_counts[contexts]
                 total[contexts == start] = documents
-                pair_count = gathered(row["pairs"], "counts", np.uint32).astype(np.int64)
+                pair_count = gathered(row["pairs"], "counts", unpack_counts)
                 state = gathered(row["pairs"], "state", np.uint8)
                 rare, mass = np.zeros((len(contexts), K)), np.zeros(len(contexts))
                 rare[state >= 2] = gathered(row["pairs"], "rare", np.uint32).reshape(-1, K)

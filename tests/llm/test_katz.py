@@ -71,3 +71,17 @@ def test_empty_and_untrained(spark):
     assert katz.score(docs.limit(0), F.lit(True)).collect() == []
     got = katz.score(docs, F.lit(False)).collect()
     assert len(got) == 2 and all(r["score"] == 0 and r["train_tokens"] == 0 for r in got)
+
+
+def test_counts_of_any_size():
+    """Counts beyond 32 bits come back as they are."""
+    for counts in ([], [0, 1, 7], [5_000_000_000, 3, (1 << 40) + 1]):
+        assert katz.unpack_counts(katz.pack_counts(np.array(counts, np.int64))).tolist() == counts
+
+
+def test_very_long_text_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b " * 100_000, True), (1, "a b", True), (None, "b", False)], "doc_id long, text string, k boolean")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"]) for r in katz.score(docs, F.col("k")).collect())
+    assert got == [("1", 3, 3), ("1", 200_001, 200_001), ("None", 2, 2)]
