@@ -9,6 +9,11 @@ from.  The same patterns run over the rewritten text, and what they find is mapp
 a span that touches no base span of its kind is added.  A text in which no transducer
 finds work gets none, so the transducers run only where one trigger pattern matches.
 
+What counts as a disguise is bounded, so that no text takes more than linear time: a local
+part has seven pieces of 64 characters at most and begins within ``REACH`` characters of its
+at, a domain has nine labels at most, and three blanks at most stand on either side of a
+disguised at or dot.  Base spans have no such bounds.
+
 Spans are [start, end) in code points of the source.  A null text counts as empty and
 has no spans; other columns pass through; repeated rows come out as often as they occur.
 """

@@ -40,3 +40,12 @@ def test_nulls_and_empty(spark):
     r = chat.read_back(chat.format_windows(df)).collect()
     assert [tuple(x)[1:5] for x in r] == [expected([("", ""), ("", "")])]
     assert chat.format_windows(df.limit(0)).collect() == []
+
+
+def test_ties_on_a_turn_and_very_long_conversations(spark):
+    """Equal turn numbers go by role, then text; a turn far over the budget keeps its whole text."""
+    long = "word " * 50_000
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "z"), (1, 0, "user", "a"), (1, 1, "assistant", long), (2, None, "user", "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(chat.format_windows(df)).collect()}
+    assert got == {1: expected([("assistant", "z"), ("user", "a"), ("user", "b"), ("assistant", long)]), 2: expected([("user", "x"), ("assistant", "y"), ("assistant", "y")])}

@@ -45,3 +45,13 @@ def test_empty(spark):
     assert mixing.mixed(df).collect() == []
     zero = spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")
     assert [tuple(r) for r in mixing.mixed(zero).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_names_of_the_caller_may_clash(spark):
+    """Columns that only look like the operator's own pass through; those it makes are replaced."""
+    rows_ = [(1, "a b c", "s", 7, "w", "l", 9, "key", 3), (2, "a " * 9, "t", 8, "w", "l", 9, "key", 3)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, _size int, _words string, _level string, Size int, _key string, taken int")
+    out, size, level = mixing.measured(df, *df.columns)
+    got = {r["doc_id"]: r for r in mixing.mix(out, size, level).drop(size, level).collect()}
+    assert set(got[1].asDict()) == {"doc_id", "text", "source", "_size", "_words", "_level", "_key", "size", "source_size", "target", "taken"}
+    assert [(got[i]["_size"], got[i]["_words"], got[i]["_level"], got[i]["_key"], got[i]["size"]) for i in (1, 2)] == [(7, "w", "l", "key", 3), (8, "w", "l", "key", 9)]

@@ -96,3 +96,10 @@ def test_unrelated_text_changes_no_span(text):
 def test_bare_disguises_open_the_trigger():
     for text, span in [("write to jane.roe at example.com now", (9, 32)), ("jane @example.com", (0, 17)), ("jane@ example.com", (0, 17)), ("jane\n@\nexample.com", (0, 18))]:
         assert pii.all_spans(text)[1]["email"] == [span]
+
+
+def test_other_columns_pass_through_whatever_their_names(spark):
+    df = spark.createDataFrame([("a.b@c.de", 1, "s", "x", True, 7)], "text string, doc_id long, spans string, n_email string, base_sha256 boolean, kind int")
+    assert pii.find(df).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
+    (r,) = pii.mask(df).collect()
+    assert tuple(r) == ("<EMAIL>", 1, "s", "x", True, 7)
