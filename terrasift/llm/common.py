@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
@@ -21,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from terrasift.session import ship
+from terrasift.session import shared_dir, ship, stored  # stored: for the operators
+
 
 # Arrays of a few hundred KB come and go in every loop of the workers.  By default each of
 # them is mapped and unmapped, and the page faults cost ten times the arithmetic.
@@ -34,29 +33,17 @@ with contextlib.suppress(OSError, AttributeError):
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 1_000_000
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 BITS64 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prepare(spark: SparkSession) -> None:
-    """The package on the executors and a folder for checkpoints."""
+    """The package on the executors, a folder for checkpoints, and batches of ``ROWS`` rows for the workers,
+    unless the session has its own number: whole texts make large rows."""
     ship(spark)
     shared_dir(spark)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="terrasift-"))
-    return sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/terrasift-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(ROWS))
 
 
 @contextlib.contextmanager
