@@ -110,40 +110,38 @@ def is_coordinate_block(y: Column, x: Column, lat: Column, lon: Column) -> Colum
     return is_easting(y) & is_northing(x) & is_latitude(lat) & is_longitude(lon)
 
 
-def merge_thousands(tokens: Column) -> Column:
-    """FN-05: rejoin blank-grouped thousands, greedily and only to legal coordinates.
-
-    A fold over the tokens from the end: each either starts the longest run of up to
-    three three-digit tokens whose value is legal, or stands alone.
-    """
-    n = F.size(tokens)
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it: inside a lambda Spark shares nothing."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    def take(i: Column) -> Column:
-        def run(extra: int) -> Column:
-            parts = F.slice(tokens, i, F.lit(extra + 1))
-            value = F.array_join(F.transform(parts, lambda p: F.ltrim(p, F.lit("+"))), "").try_cast("double")
-            fits = (i + extra <= n) & F.element_at(parts, 1).rlike(r"^[+-]?[0-9]{1,3}$") & F.forall(F.slice(parts, 2, 3), lambda p: p.rlike(r"^[0-9]{3}$"))
-            return fits & (is_easting(value) | is_northing(value))
 
-        return F.when(run(3), 3).when(run(2), 2).when(run(1), 1).otherwise(0)
+#: Runs of blank-separated tokens whose joined value is a legal coordinate, the longest first: a token of one to three
+#: digits and up to three of three.  Zeros in front keep six digits an easting, and seven from 3 000 000 to 5 000 000 a northing.
+_SIX, _SEVEN = "[1-9][0-9]{2} [0-9]{3}", lambda lead: f"{lead}(?:[34] [0-9]{{3}} [0-9]{{3}}|5 000 000)"
+MERGED = rf"[+]?(?:0{{1,3}} (?:000 {_SIX}|{_SEVEN('00')})|{_SEVEN('0{0,2}')}|0{{1,3}} {_SIX}|{_SIX})(?=\s|$)|\S+"
 
-    state = F.struct(F.lit(1).alias("next"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        extra = take(i)
-        joined = F.array_join(F.slice(tokens, i, extra + 1), " ")
-        return F.when(i < acc["next"], acc).otherwise(F.struct((i + extra + 1).alias("next"), F.concat(acc["out"], F.array(joined)).alias("out")))
+def merge_thousands(tokens: Column) -> Column:
+    """FN-05: rejoin blank-grouped thousands, greedily and only to legal coordinates.
 
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), state, step)["out"])
+    Each token either starts the longest run of up to three three-digit tokens whose value
+    is legal, or stands alone: one pass of ``MERGED`` over the tokens in a line.
+    """
+    return F.regexp_extract_all(F.array_join(tokens, " "), F.lit(MERGED), 0)
 
 
 def line_tokens(line: Column) -> Column:
     """FN-06: tokens of a coordinate line: split at blanks and colons, thousands rejoined."""
-    return merge_thousands(F.filter(F.split(F.trim(F.coalesce(line, F.lit(""))), r"[\s:]+"), lambda t: t != ""))
+    return F.regexp_extract_all(F.regexp_replace(F.coalesce(line, F.lit("")), r"[\s:]+", " "), F.lit(MERGED), 0)
+
+
+def values_of(tokens: Column) -> Column:
+    """The numbers among tokens."""
+    return F.filter(F.transform(tokens, parse_number), lambda x: x.isNotNull())
 
 
 def numeric_values(line: Column) -> Column:
-    return F.filter(F.transform(line_tokens(line), parse_number), lambda x: x.isNotNull())
+    return values_of(line_tokens(line))
 
 
 def combined_pair(value: Column) -> Column:
@@ -152,9 +150,11 @@ def combined_pair(value: Column) -> Column:
     colon = r"^([+-]?[0-9][0-9.,\s]*?)\s*:\s*([+-]?[0-9][0-9.,\s]*?)$"
     by_colon = F.struct(parse_number(F.regexp_extract(text, colon, 1)).alias("first"), parse_number(F.regexp_extract(text, colon, 2)).alias("second"))
     tokens = merge_thousands(F.filter(F.split(text, r"\s+"), lambda t: (t != "") & (t != ":")))
-    two = (F.size(tokens) == 2) & F.forall(tokens, is_number)
-    by_blank = F.struct(parse_number(F.try_element_at(tokens, F.lit(1))).alias("first"), parse_number(F.try_element_at(tokens, F.lit(2))).alias("second"))
-    return F.when(text.rlike(colon) & by_colon["first"].isNotNull() & by_colon["second"].isNotNull(), by_colon).when(two, by_blank)
+
+    def by_blank(values: Column) -> Column:
+        return F.when((F.size(values) == 2) & F.forall(values, lambda v: v.isNotNull()), F.struct(F.try_element_at(values, F.lit(1)).alias("first"), F.try_element_at(values, F.lit(2)).alias("second")))
+
+    return F.when(text.rlike(colon) & by_colon["first"].isNotNull() & by_colon["second"].isNotNull(), by_colon).otherwise(bound(F.transform(tokens, parse_number), by_blank))
 
 
 def recover_decimal(value: Column) -> Column:

@@ -297,8 +297,8 @@ def q_line_tokens(spark, sf_dir):
     y, x = 100000 + F.col("o_orderkey") % 900000, 3000000 + F.col("o_custkey") % 2000000
     three = lambda c: F.lpad(c.cast("string"), 3, "0")
     line = F.concat(F.lit("R1 : "), F.expr("(100000 + o_orderkey % 900000) div 1000").cast("string"), F.lit(" "), three(y % 1000), F.lit(" : "), F.floor(x / 1000000).cast("string"), F.lit(" "), three(F.floor(x / 1000) % 1000), F.lit(" "), three(x % 1000))
-    found = table(spark, sf_dir, "orders").select("o_orderkey", numbers.line_tokens(line).alias("t"), numbers.numeric_values(line).alias("v"))
-    return found.select("o_orderkey", F.array_join("t", "|").alias("tokens"), F.element_at("v", 1).cast("long").alias("y"))
+    found = table(spark, sf_dir, "orders").select("o_orderkey", numbers.line_tokens(line).alias("t"))
+    return found.select("o_orderkey", F.array_join("t", "|").alias("tokens"), F.element_at(numbers.values_of(F.col("t")), 1).cast("long").alias("y"))
 
 
 @query("""SELECT s_suppkey, CAST(512000 + s_suppkey % 1000 AS BIGINT) AS whole, s_suppkey % 2 = 0 AS label, CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS INTEGER) AS page, 'I.' || s_suppkey AS roman FROM supplier""")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,30 @@ def test_ed50_shift_has_the_known_size(spark):
 def test_datum(spark):
     got = values(spark, ["Datum : ED-50\nZon : 36", "Datum : ED 50\nZon : 35\nZone 36", "WGS-84", ""], crs.datums)
     assert [(g["datum"], g["zone"], g["confidence"]) for g in got] == [("ED-50", 36, "HIGH"), ("ED-50", None, "CONFLICTING"), (None, None, "UNRESOLVED"), (None, None, "UNRESOLVED")]
+
+
+def test_merged_thousands_equal_the_fold_over_tokens(spark):
+    """Against the rule written out: the longest run of one token and up to three of three digits that is legal."""
+    rng = random.Random(5)
+    pool = ["R1", "0", "00", "000", "+0", "3", "+4", "5", "05", "003", "004", "005", "12", "99", "100", "463", "999", "-463", "+512", "001", "463,5", "4.5", "x"]
+    lines = [" ".join(rng.choice(pool) for _ in range(rng.randrange(0, 9))) for _ in range(6000)] + ["5 000 000", "5 000 001", "3 000 000", "2 999 999", "100 000", "999 999", "0 999 999"]
+
+    def fold(tokens):
+        out, i = [], 0
+        while i < len(tokens):
+            legal = lambda n: i + n < len(tokens) and re.fullmatch("[+-]?[0-9]{1,3}", tokens[i]) and all(re.fullmatch("[0-9]{3}", t) for t in tokens[i + 1 : i + n + 1]) and (100000 <= int("".join(tokens[i : i + n + 1])) <= 999999 or 3000000 <= int("".join(tokens[i : i + n + 1])) <= 5000000)  # noqa: B023, E731
+            n = next((n for n in (3, 2, 1) if legal(n)), 0)
+            out.append(" ".join(tokens[i : i + n + 1]))
+            i += n + 1
+        return out
+
+    want = [fold(line.split()) for line in lines]
+    assert sum(map(len, want)) < sum(len(line.split()) for line in lines)
+    assert values(spark, lines, numbers.line_tokens) == want
+    assert values(spark, lines, lambda c: numbers.merge_thousands(F.filter(F.split(c, " "), lambda t: t != ""))) == want
+
+
+def test_line_tokens_name_their_line_once(spark):
+    """A line is cut once: the plan of its tokens reads it in one place (before, it was cut again for each token)."""
+    plan = spark.range(1).select(F.col("id").cast("string").alias("line")).select(numbers.line_tokens(F.col("line")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("line#") == 2  # once read, once made
