@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry
+from terrasift.functions.numbers import bound
 from terrasift.operators.points import crs_aggregates
 from terrasift.session import ship
 
@@ -66,12 +67,26 @@ def geometry_key(points: Column) -> Column:
 
 
 def canonical(tokens: Column) -> Column:
-    """GEO-11: least rotation over both directions of an array, its closing element removed."""
-    closed = (F.size(tokens) > 1) & (F.try_element_at(tokens, F.lit(1)) == F.try_element_at(tokens, F.lit(-1)))
-    ring = F.when(closed, F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
-    n = F.size(ring)
-    turns = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.slice(r, i, n), F.slice(r, 1, i - 1)))
-    return F.when(n == 0, ring).otherwise(F.array_min(F.concat(turns(ring), turns(F.reverse(ring)))))
+    """GEO-11: least rotation over both directions of an array, its closing element removed.
+
+    It begins with a least element, so only rotations from these are compared, two at a time.  Arrays are bound
+    by a transform over one element: a lambda would compute them anew wherever it names them.
+    """
+    def least(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def turned(r: Column, first: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(r, i).eqNullSafe(first))
+            return F.aggregate(starts, F.lit(None).cast("array<string>"), lambda best, i: F.least(best, F.concat(F.slice(r, i, n), F.slice(r, 1, i - 1))))
+
+        both = lambda first: F.least(turned(ring, first), bound(F.reverse(ring), lambda r: turned(r, first)))
+        return F.when(n <= 0, ring).otherwise(bound(F.element_at(F.sort_array(ring), 1), both))
+
+    def opened(all_: Column) -> Column:
+        closed = (F.size(all_) > 1) & (F.try_element_at(all_, F.lit(1)) == F.try_element_at(all_, F.lit(-1)))
+        return F.when(closed, F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_)
+
+    return bound(bound(tokens, opened), least)
 
 
 def crossing_pairs(edges: DataFrame, ring: str = "ring_id", index: str = "i", count: str = "n") -> DataFrame:
@@ -106,6 +121,25 @@ def vertex_arrays(points: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Arra
     return offsets, values, flat.field("name")
 
 
+def by_ring(rings: DataFrame, schema: str, measure) -> DataFrame:
+    """A row per ring: its first column and what ``measure`` says of its (y, x).  Only these go to Python, as flat
+    arrays of a batch, not as an object a vertex."""
+    ship(rings.sparkSession)
+    key = rings.columns[0]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ends = np.concatenate(([0], np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0))))).astype(np.int64)
+                values = np.stack([np.asarray(batch.column(c).flatten().fill_null(np.nan)) for c in (1, 2)], axis=1)
+                said = [measure(values[start:stop]) for start, stop in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*said, strict=True))], names=names)
+
+    places = rings.select(key, *[F.transform("points", lambda p: p[c].cast("double")).alias(c) for c in ("y", "x")])  # noqa: B023
+    names = [key, *(part.split()[0] for part in schema.split(","))]
+    return places.mapInArrow(run, f"{key} {dict(rings.dtypes)[key]}, {schema}")
+
+
 def repaired(rings: DataFrame) -> DataFrame:
     """GEO-04..08: lattice trimmed, crossings repaired; a row per part (part_no), others as given.
 
@@ -115,19 +149,18 @@ def repaired(rings: DataFrame) -> DataFrame:
     fields = [c for c in rings.columns if c != "points"]
     schema = rings.select(*fields, F.lit(0).alias("part_no"), F.lit(0).alias("crossings_before"), F.col("points").cast(f"array<{VERTEX}>")).schema
 
-    def parts_of(ring: np.ndarray) -> tuple[int, list[np.ndarray]]:
-        before = geometry.count_crossings(ring)
-        trimmed = geometry.trim_lattice(ring) if len(ring) >= 3 else ring
-        return before, [trimmed] if len(ring) < 3 or (not before and len(trimmed) == len(ring)) else geometry.repair(trimmed)
+    def parts_of(given: list[np.ndarray]) -> list[tuple[int, list[np.ndarray]]]:
+        trimmed = [geometry.trim_lattice(ring) for ring in given]
+        found = geometry.repair_all(trimmed)
+        return [f if len(t) == len(ring) else (geometry.count_crossings(ring), f[1]) for ring, t, f in zip(given, trimmed, found, strict=True)]
 
     def run(batches):
         for batch in batches:
             offsets, values, names = vertex_arrays(batch.column(len(fields)))
             rows, numbers, before, sizes, where, out = [], [], [], [], [], [np.zeros((0, 4))]
-            for i in range(batch.num_rows):
-                at = np.arange(offsets[i], offsets[i + 1])
-                at = at[~np.isnan(values[at, :2]).any(1)]
-                crossed, parts = parts_of(values[at])
+            placed = ~np.isnan(values[:, :2]).any(1)
+            held = [np.arange(*ends)[placed[slice(*ends)]] for ends in zip(offsets[:-1], offsets[1:], strict=True)]
+            for i, (at, (crossed, parts)) in enumerate(zip(held, parts_of([values[at] for at in held]), strict=True)):
                 known = None
                 for k, part in enumerate(parts):
                     if not len(part):
