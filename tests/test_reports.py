@@ -128,3 +128,18 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["failures", f"{tmp_path}/pages", f"{tmp_path}/out"], spark) == 0
     assert [(r["finding"], r["points"]) for r in spark.read.json(f"{tmp_path}/out").collect()] == [("OK", 4)]
     assert cli.main(["plan", f"{tmp_path}/pages", f"{tmp_path}/plan"], spark) == 0
+
+
+def test_documents_are_scanned_whole_across_batches(spark):
+    """A plan without a Python call for each document; one whose pages lie in several batches is read as one."""
+    pages = [(d, p, "text_layer", text) for d in "abc" for p, text in ((2, ring("S", 516000, first=5)), (1, f"Tablo 4. Stok Alanı Koordinatları\n{HEAD}{ring('S', 512300)}"))]
+    df = spark.createDataFrame([*pages, (None, 1, "ocr", pages[1][3]), ("z", None, "ocr", None)], "doc_id string, page_no int, source_method string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        scan = documents.scanned(df)
+        assert "FlatMapGroupsInArrow" not in scan._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(((r["doc_id"] or ""), r["table_index"], r["first_page"], r["last_page"], [p["label"] for p in r["points"]]) for r in scan.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names = [f"S{i}" for i in range(1, 9)]
+    assert got == [("", 1, 1, 1, names[:4]), *[(d, 1, 1, 2, names) for d in "abc"]]
